@@ -16,6 +16,25 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import judge
+
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return judge(_table(spark, sf_dir, "documents"), labels)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -23,5 +42,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), labels)
 
 
-QUERIES = {"op1_minhash_forest": op1_minhash_forest, "op10_quality_rules": op10_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op7_toxicity_ftrl, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

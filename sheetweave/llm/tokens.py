@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once, which bounds a task's memory.
-CHUNK_BYTES = 1 << 21
+CHUNKBYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,7 +34,7 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
-_BYTE = seeds(256, 11)
+BYTE = seeds(256, 11)
 _ODD = seeds(4, 23) | np.uint64(1)
 
 
@@ -55,7 +55,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """c with c[0] = 0; the bytes [i, j) hash to (c[j] - c[i]) * down[i]."""
     up, _ = Powers.upto(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(BYTE[data] * up[: len(data)], out=out[1:])
     return out
 
 
@@ -72,7 +72,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = CHUNKBYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi, their bytes and offsets, at most ``limit`` bytes unless one text alone is longer."""
     data, at = text_bytes(column)
     lo, n = 0, len(at) - 1
