@@ -22,6 +22,12 @@ def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_to_next
+
+    return compare_to_next(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import judge
 
@@ -42,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op7_toxicity_ftrl, op9_suffix_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op7_toxicity_ftrl, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
