@@ -35,6 +35,12 @@ def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), labels)
 
 
+def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect
+
+    return detect(_table(spark, sf_dir, "documents"), redact=False).drop("redacted")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -48,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op7_toxicity_ftrl, op9_suffix_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op7_toxicity_ftrl, op8_pii_boosted, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
