@@ -28,6 +28,28 @@ def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_to_next(_table(spark, sf_dir, "documents"))
 
 
+def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import remove_repeated_lines
+
+    cut = remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    return cut.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import tokens
+    from .packing import pack
+
+    docs = _table(spark, sf_dir, "documents")
+    return pack(docs.select("doc_id", tokens(F.col("text")).alias("tokens"), "source", F.md5("text").alias("cluster")))
+
+
 def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import judge
 
@@ -54,5 +76,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op7_toxicity_ftrl, op8_pii_boosted, op9_suffix_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op4_raked_mixture, op5_line_runs, op6_best_fit_packing, op7_toxicity_ftrl, op8_pii_boosted, op9_suffix_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
