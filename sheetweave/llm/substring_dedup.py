@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import width
+from .cluster import cut, width
 from .tokens import BYTE, Powers, chunks, mix, prefix_hashes, seeds
 
 GRAM = 16
-CROWD = 6000
+CROWD = 20_000
 BLOCK = 4096
 _ID = -(1 << 63)
 
@@ -101,7 +101,7 @@ def _places(length: int):
 def _surroundings(length: int):
     """Bytes around each wanted place; ``lead`` and ``rest`` are read away from the place on the lead's side and on the other."""
     half = length // 2
-    names = ["side", "lead", "far", "near", "id", "hash", "place", "crowded"]
+    names = ["side", "lead", "far", "near", "id", "hash", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +116,7 @@ def _surroundings(length: int):
                         lead, far, near = data[p : p + half], data[p + half : p + length], data[max(0, p - half) : p][::-1]
                     else:
                         lead, far, near = data[p - half : p][::-1], data[max(0, p - length + GRAM) : p - half][::-1], data[p : p + half]
-                    for x, y in zip(out, (w["side"], lead, far, near, cols["id"][row], cols["hash"][row], p, w["crowded"]), strict=True):
+                    for x, y in zip(out, (w["side"], lead, far, near, cols["id"][row], cols["hash"][row], p), strict=True):
                         x.append(y)
                 if len(out[0]) >= BLOCK:
                     yield _batch(names, out)
@@ -128,7 +128,7 @@ def _surroundings(length: int):
 
 
 def _batch(names, out):
-    kinds = {"side": pa.int32(), "lead": pa.binary(), "far": pa.binary(), "near": pa.binary(), "id": pa.int64(), "hash": pa.int64(), "place": pa.int32(), "crowded": pa.bool_()}
+    kinds = {"side": pa.int32(), "lead": pa.binary(), "far": pa.binary(), "near": pa.binary(), "id": pa.int64(), "hash": pa.int32(), "place": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[n]) for n, x in zip(names, out, strict=True)], names=names)
 
 
@@ -149,7 +149,8 @@ def window_hashes(side: int, lead: list[bytes], far: list[bytes], near: list[byt
     text = np.concatenate([z[:, ::-1], x, y], axis=1)  # near side reversed, then away from the place
     up, down = Powers.upto(2 * length)
     sums = np.zeros((len(text), text.shape[1] + 1), np.uint64)
-    np.cumsum(BYTE[text] * up[None, : text.shape[1]], axis=1, out=sums[:, 1:])
+    for lo in range(0, len(text), 1024):
+        np.cumsum(BYTE[text[lo : lo + 1024]] * up[None, : text.shape[1]], axis=1, out=sums[lo : lo + 1024, 1:])
     # side 0: up to half the bytes before the place; side 1: fewer than half after it, and its gram at least.
     for n in range(0, half + 1) if side == 0 else range(GRAM, half):
         rows = np.flatnonzero((near_n >= n) & (far_n >= length - n - half))
@@ -185,7 +186,7 @@ def _compare(length: int):
                 for x, y in zip(out, (cols["id"][i], cols["hash"][i], cols["place"][i], *span), strict=True):
                     x.append(y)
         if out[0]:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=names)
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,22 +269,26 @@ def remove_repeats(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
     stay null.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(doc_col).cast("long"), F.lit(_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    found = texts.mapInArrow(_places(length), "id long, hash long, place int, before int, after int, around long, key_after long, key_before long")
-    same = ["around", "key_after", "key_before", "before", "after"]
-    classes = found.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "hash", "place")).alias("at"))
-    sides = classes.select("n", "at", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("key_after").alias("key")), F.struct(F.lit(1).alias("side"), F.col("key_before").alias("key")))).alias("s")).select("n", "at.*", "s.*").where("key is not null")
-    shared = sides.groupBy("side", "key").agg(F.count("*").alias("m"), F.min("n").alias("rarest")).where("m > 1 and rarest = 1").select("side", "key", (F.col("m") > CROWD).alias("crowded"))
-    wanted = sides.join(shared, ["side", "key"]).groupBy("id", "hash").agg(F.collect_list(F.struct("place", "side", "crowded")).alias("wanted"))
-    around = texts.join(wanted, ["id", "hash"]).mapInArrow(_surroundings(length), "side int, lead binary, far binary, near binary, id long, hash long, place int, crowded boolean")
-    spans = "id long, hash long, place int, start int, stop int"
-    sorted_ = around.where("not crowded").repartitionByRange(width(spark), "side", "lead").sortWithinPartitions("side", "lead", "id", "hash", "place")
-    matched = sorted_.mapInArrow(_compare(length), spans)
-    windows = around.where("crowded").distinct().mapInArrow(_windows(length), "lead_hash long, n int, window long, side int, id long, hash long, place int")
-    twice = windows.groupBy("lead_hash", "n", "window").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    crowded = windows.join(twice, ["lead_hash", "n", "window"]).groupBy("side", "id", "hash", "place").agg(F.min("n").alias("a"), F.max("n").alias("b"))
-    crowded = crowded.select("id", "hash", "place", F.expr(f"if(side = 0, -b, a - {length})").alias("start"), F.expr(f"if(side = 0, {length} - a, b)").alias("stop"))
-    copies = found.join(classes.where(f"n > 1 and before + after >= {length}").select("around"), "around", "left_semi")
-    copies = copies.select("id", "hash", "place", (-F.col("before")).alias("start"), F.col("after").alias("stop"))
-    of_doc = matched.unionByName(crowded).unionByName(copies).groupBy("id", "hash").agg(F.collect_set(F.struct((F.col("place") + F.col("start")).cast("long").alias("start"), (F.col("place") + F.col("stop")).cast("long").alias("stop"))).alias("spans"))
+    texts = docs.select(F.coalesce(F.col(doc_col).cast("long"), F.lit(_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.hash("text"))
+    found = texts.mapInArrow(_places(length), "id long, hash int, place int, before int, after int, around long, key_after long, key_before long")
+    classes = cut(found.groupBy("around").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("id", "hash", "place")).alias("at"), F.first("key_after").alias("key_after"), F.first("key_before").alias("key_before")).select("around", "n", "at.*", "key_after", "key_before"))
+    sides = classes.select("n", "id", "hash", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("key_after").alias("key")), F.struct(F.lit(1).alias("side"), F.col("key_before").alias("key")))).alias("s")).select("n", "id", "hash", "place", "s.*").where("key is not null")
+    shared = cut(sides.groupBy("side", "key").agg(F.count("*").alias("m"), F.min("n").alias("rarest")).where("m > 1 and rarest = 1").select("side", "key", (F.col("m") > CROWD).alias("crowded")))
+    wanted = cut(sides.drop("n").join(shared, ["side", "key"]).groupBy("id", "hash", "crowded").agg(F.collect_list(F.struct("place", "side")).alias("wanted")))
+
+    def around(crowded: bool) -> DataFrame:
+        own = wanted.where(F.col("crowded") == crowded).drop("crowded")
+        return texts.join(own, ["id", "hash"]).mapInArrow(_surroundings(length), "side int, lead binary, far binary, near binary, id long, hash int, place int")
+
+    spans = "id long, hash int, place int, start int, stop int"
+    ordered = around(False).repartitionByRange(width(spark), "side", "lead").sortWithinPartitions("side", "lead", "id", "hash", "place")
+    matched = ordered.mapInArrow(_compare(length), spans)
+    if not shared.where("crowded").isEmpty():
+        windows = around(True).distinct().mapInArrow(_windows(length), "lead_hash long, n int, window long, side int, id long, hash int, place int")
+        twice = windows.groupBy("lead_hash", "n", "window").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+        crowded = windows.join(twice, ["lead_hash", "n", "window"]).groupBy("side", "id", "hash", "place").agg(F.min("n").alias("a"), F.max("n").alias("b"))
+        crowded = crowded.select("id", "hash", "place", F.expr(f"if(side = 0, -b, a - {length})").alias("start"), F.expr(f"if(side = 0, {length} - a, b)").alias("stop"))
+        matched = matched.unionByName(crowded)
+    copies = found.select("around", "id", "hash", "place", (-F.col("before")).alias("start"), F.col("after").alias("stop")).join(classes.where("n > 1").select("around"), "around", "left_semi").drop("around")
+    of_doc = matched.unionByName(copies).groupBy("id", "hash").agg(F.collect_list(F.struct((F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))).alias("spans"))
     return texts.join(of_doc, ["id", "hash"], "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:long,stop:long>>")
