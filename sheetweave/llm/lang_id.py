@@ -96,7 +96,7 @@ def train(labelled: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text
 
 
 def _predict(model):
-    names = ["doc_id", "held_out", "lang_pred", "score"]
+    names = ["row", "held_out", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
@@ -125,21 +125,24 @@ def _predict(model):
                     spoken[i] = any(ch.isalpha() for ch in texts[lo + int(i)].as_py())
                 spoken &= bool(m.languages)
                 pred = [m.languages[k] if ok else UNKNOWN for k, ok in zip(first, spoken, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("held_out")[lo:hi], pa.array(pred, pa.string()), pa.array(np.where(spoken, score, 0.0))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], batch.column("held_out")[lo:hi], pa.array(pred, pa.string()), pa.array(np.where(spoken, score, 0.0))], names=names)
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, *, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row; only the text decides.
 
     ``und`` with score 0 where the text is null or has no letter, or where no
     language was learned.  The score is the winner's share of all corrected
-    counts.  Ties go to the first language in order of name.
+    counts.  Ties go to the first language in order of name.  With ``keep``, the
+    struct ``row`` of those columns takes the place of ``doc_id``.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.filter, model.false_rate))
-    rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), held_out(F.col(doc_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    row = F.struct(*(F.col(f"`{c}`") for c in keep or [doc_col]))
+    rows = docs.select(row.alias("row"), held_out(F.col(doc_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    judged = rows.mapInArrow(_predict(shared), f"row {rows.schema['row'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return judged if keep else judged.select(F.col(f"row.`{doc_col}`").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import stored
 
 DIMENSIONS = ("source", "lang", "topic")
 PASSES = 8
@@ -50,18 +50,18 @@ def rake(cells: DataFrame, *, passes: int = PASSES, temper: float = TEMPER) -> D
     """``cells`` (dimensions and ``tokens``) with a ``weight`` each; cells without tokens have weight 0."""
     some = cells.where("tokens > 0")
     parts = 1 + some.count() // PART
-    fitted = cut(some.withColumn("weight", F.lit(1.0)).coalesce(parts))
+    fitted = stored(some.withColumn("weight", F.lit(1.0)).coalesce(parts))
     targets = {}
     for d in DIMENSIONS:
         marginal = fitted.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("share"))
         all_ = marginal.agg(F.sum("share").alias("all"))
-        targets[d] = cut(marginal.join(F.broadcast(all_)).select(d, (F.col("share") / F.col("all")).alias("target")).coalesce(parts))
+        targets[d] = stored(marginal.join(F.broadcast(all_)).select(d, (F.col("share") / F.col("all")).alias("target")).coalesce(parts))
     whole = fitted.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     for _ in range(passes):
         for d in DIMENSIONS:
             now = fitted.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now")).join(targets[d], d)
             factors = now.select(d, (F.col("target") * F.lit(whole) / F.col("now")).alias("factor"))
-            fitted = cut(fitted.join(factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor").coalesce(parts))
+            fitted = stored(fitted.join(factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor").coalesce(parts))
     return cells.join(fitted.select(*DIMENSIONS, "weight"), list(DIMENSIONS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
@@ -91,8 +91,8 @@ def mix(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", top
     """
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("source", "lang")))
     rows = named.withColumn("topic", F.expr(topic)).withColumn("tokens", tokens(F.col("text")))
-    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    weighted = cut(rake(cells, passes=passes, temper=temper))
+    cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    weighted = stored(rake(cells, passes=passes, temper=temper))
     factor = calibrate(weighted, keep)
     weights = weighted.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(factor)).alias("probability"))
     if weights.count() <= SMALL:
