@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +58,8 @@ def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import judge
 
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return judge(_table(spark, sf_dir, "documents"), labels)
+    judged = judge(_table(spark, sf_dir, "documents"), labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
 def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +78,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
     labels = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
-    return judge(_table(spark, sf_dir, "documents"), labels)
+    judged = judge(_table(spark, sf_dir, "documents"), labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op4_raked_mixture, op5_line_runs, op6_best_fit_packing, op7_toxicity_ftrl, op8_pii_boosted, op9_suffix_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
