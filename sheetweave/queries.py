@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import cells
-from .operators import catalog, layout, reshape, search, typing
+from .operators import catalog, documents, layout, reshape, search, typing
 from .sources import grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +236,51 @@ def vector_topk(spark, sf_dir):
     return e.where("vec_id != 0").crossJoin(F.broadcast(one)).select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+@query("""select conv_id, field_no, list_extract(t, 1) as field, array_to_string(t[2:], chr(10)) as value from (
+  select conv_id, field_no, list(text order by turn, text) as t from (
+    select *, sum((role = 'user')::int) over (partition by conv_id order by turn rows unbounded preceding)::bigint as field_no from conversations) where field_no > 0 group by all)""")
+def field_value(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return documents.field_values(c, ["conv_id"], "turn", F.col("role") == "user", "text")
+
+
+@query("""with recursive l as (select conv_id, text, regexp_matches(text, '^[A-M]') as v, row_number() over (partition by conv_id order by turn) as k from conversations),
+  step(conv_id, k, pair) as (select conv_id, 1, null::bigint from l where k = 1
+    union all select s.conv_id, case when n.v then s.k + 2 else s.k + 1 end, case when n.v then s.k end from step s join l n on n.conv_id = s.conv_id and n.k = s.k + 1)
+  select a.conv_id, a.text as label, b.text as value from step join l a on a.conv_id = step.conv_id and a.k = pair join l b on b.conv_id = a.conv_id and b.k = a.k + 1""")
+def label_value_pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return documents.label_value_pairs(c, ["conv_id"], "turn", "text", "^[A-M]").select("conv_id", "label", "value")
+
+
+@query("""with s as (select doc_id, (case when n_chars <= 500 then 'short' when n_chars <= 3000 then 'medium' else 'long' end) || '|' || (case when len(string_split(text, chr(10))) <= 2 then 'few' when len(string_split(text, chr(10))) <= 10 then 'some' else 'many' end) as signature from documents),
+  r as (select *, row_number() over (partition by signature order by doc_id) as k from s)
+  select signature, count(*) as pages, string_agg(doc_id::varchar, ',' order by doc_id) filter (where k <= 5) as samples from r group by signature""")
+def layout_signature(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    parts = [documents.bucket(F.col("n_chars"), [500, 3000], ["short", "medium", "long"]), documents.bucket(F.size(F.split("text", "\n")), [2, 10], ["few", "some", "many"])]
+    return documents.signatures(d, "doc_id", parts)
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", documents.html_text_udf("html").alias("text"))
+
+
+@query("""select o_orderpriority as source, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as targets from orders group by 1""")
+def source_to_targets(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), "o_orderstatus").distinct()
+    return o.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("o_orderstatus")), ",").alias("targets"))
+
+
+@query("""with p as (select page_id, regexp_extract(url, '([^/.]+)[^/]*$', 1) as stem from pages)
+  select a.page_id, a.stem, count(b.page_id) as results from p a left join p b on b.stem = a.stem and b.page_id % 2 = 1 where a.page_id % 2 = 0 group by all""")
+def stem_join(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/.]+)[^/]*$", 1).alias("stem"))
+    results = p.where("page_id % 2 = 1").select("stem", F.col("page_id").alias("result"))
+    return p.where("page_id % 2 = 0").join(results, "stem", "left").groupBy("page_id", "stem").agg(F.count("result").alias("results"))
+
+
 def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, *tables.split())

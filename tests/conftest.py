@@ -12,7 +12,7 @@ from sheetweave.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    return local_session(4, 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.driver.memory": "4g"})
+    return local_session(3, 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.driver.memory": "4g"})
 
 
 @pytest.fixture(scope="session")
