@@ -26,6 +26,8 @@ RULES = [
     ("long_words", "word_chars / greatest(n_words, 1)", [40.0, 25.0, 15.0, 12.0, 10.0]),
 ]
 RISK, ERROR = 0.04, 0.05
+#: Strata up to which their cutoffs are broadcast; more are joined by a shuffle.
+SMALL = 10_000
 
 
 def features(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -125,6 +127,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_c
     """
     counted = cut(features(docs, doc_col, text_col, stratum_col))
     chosen = cutoffs(counted, labels, risk=risk, error=error)
-    limits = chosen.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name, _, _ in RULES))
+    limits = cut(chosen.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name, _, _ in RULES)))
+    if limits.count() <= SMALL:
+        limits = F.broadcast(limits)
     over = " or ".join(f"coalesce(({feature}) > cut_{name}, false)" for name, feature, _ in RULES)
     return counted.join(limits, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.expr(over)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *(f"cut_{name}" for name, _, _ in RULES))

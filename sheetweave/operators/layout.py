@@ -16,10 +16,10 @@ def filled(cells: Column) -> Column:
 
 
 def header_like(cells: Column) -> Column:
-    """At least two cells, all but one with a letter, at most one that is a number."""
+    """At least two cells, all but one with a letter, at most one of digits with at most one point."""
     own = filled(cells)
     letters = F.size(F.filter(own, lambda c: c.rlike(r"\p{L}")))
-    numbers = F.size(F.filter(own, lambda c: F.replace(F.trim(c), F.lit(","), F.lit("")).rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")))
+    numbers = F.size(F.filter(own, lambda c: F.trim(c).rlike(r"^(?=.*[0-9])[0-9]*\.?[0-9]*$")))
     return (F.size(own) >= 2) & (letters >= F.greatest(F.lit(2), F.size(own) - 1)) & (numbers <= 1)
 
 
