@@ -34,7 +34,12 @@ CASES = {
         [["product name", "region of sale", "amount in total"], *body(3), ["", "", ""], ["customer name", "country of origin", "orders in total"], *body(3)],
         [("table", 0, 3, 0, 2, ("product name", "region of sale", "amount in total")), ("table", 5, 8, 0, 2, ("customer name", "country of origin", "orders in total"))],
     ),
-    "ragged row ends it": ([["product name", "region of sale", "amount in total"], *body(3), ["x", "1", "2", "3"]], [("metadata", 4, 4, None, None, ()), ("table", 0, 3, 0, 2, ("product name", "region of sale", "amount in total"))]),
+    "ragged row ends it": (
+        [["product name", "region of sale", "amount in total"], *body(5), ["x", "1", "2", "3"], *body(1)],
+        [("metadata", 6, 7, None, None, ()), ("table", 0, 5, 0, 2, ("product name", "region of sale", "amount in total"))],
+    ),
+    # The widest of the first five rows sets the width, so none of the others fits.
+    "ragged row among the first": ([["product name", "region of sale", "amount in total"], *body(3), ["x", "1", "2", "3"]], [("metadata", 0, 4, None, None, ())]),
     "blank header cells": ([["", "product name", "", "amount in total"], *body(3, 4)], [("table", 0, 3, 0, 3, ("row_label", "product name", "column_3", "amount in total"))]),
     "one row": ([["only", "one"]], [("metadata", 0, 0, None, None, ())]),
     "blank": ([["", ""]], []),
