@@ -359,3 +359,18 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 
     ok, why = oracle.same(QUERIES[name](spark, sf_dir), oracle.duck(sf_dir), ORACLES[name])
     assert ok, why
+
+
+CONTRACT = {
+    "op7_toxicity_ftrl": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op2_language_bitmask": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op8_pii_boosted": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_query_columns(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir)
+    types = dict(got.dtypes)
+    assert {c: types.get(c) for c in CONTRACT[name]} == CONTRACT[name]
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
