@@ -103,6 +103,26 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     assert wrong <= 3  # regions this small lose depth
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_in_a_crowd_lose_nothing(spark, monkeypatch, words, percent):
+    """Pairs of copies among many looser ones that share their regions: none may be lost, and no region border may cut one."""
+    monkeypatch.setattr(near_dedup, "CROWD", 16)
+    monkeypatch.setattr(near_dedup, "MANY", 4)
+    base, docs = speech(6, 300).split(), {}
+    for i in range(120):
+        r, w = random.Random(i), list(base)
+        for _ in range(6):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        docs[i] = " ".join(w)
+        for _ in range(6):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        docs[1000 + i] = " ".join(w)
+    got = byid(near_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), shingle_words=words, percent=percent))
+    want = true_components(docs, words, percent)
+    assert len(set(want.values())) > 20
+    assert {k: r["component_id"] for k, r in got.items()} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     assert {tuple(r) for r in cluster.components(edges).collect()} == {(i, 0) for i in range(201)} | {(900, 900), (901, 900)}
