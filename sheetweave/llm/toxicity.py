@@ -2,11 +2,15 @@
 
 Features are the presence of words, of pairs of neighbours and of pairs with one
 word between (skip-grams), hashed to ``BUCKETS``.  Every coordinate has its own
-learning rate, and the L1 term leaves few weights, which are broadcast.
+learning rate, and the L1 term leaves few weights, which are broadcast.  Where the
+sample has other shares of the labels than all training rows, the intercept is
+moved by the log ratio of the sampling rates, so that scores keep to the same
+prior, and the threshold its meaning, at every size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,11 +83,15 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_c
     labelled more than once takes its highest label).
     """
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    shift = math.log(max(1.0, sizes[1] / TEXTS)) - math.log(max(1.0, sizes[0] / TEXTS)) if 0 in sizes and 1 in sizes else 0.0
     drawn = bounded(known, "label", "doc_id", TEXTS)
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
     # One group of a bounded number of texts.
     learned = rows.mapInArrow(_features, "doc_id long, label int, buckets array<long>, model int").groupBy("model").applyInPandas(fit, "bucket long, weight double").collect()
-    return np.array([r["bucket"] for r in learned], np.int64), np.array([r["weight"] for r in learned])
+    bucket, weight = np.array([r["bucket"] for r in learned], np.int64), np.array([r["weight"] for r in learned])
+    weight[bucket < 0] += shift
+    return bucket, weight
 
 
 def _score(model):

@@ -255,6 +255,18 @@ def test_toxicity(spark, edge):
     assert all(x["score"] == 0.5 for x in bare.values())
 
 
+def test_toxicity_keeps_the_prior_of_a_bounded_sample(spark, monkeypatch):
+    """Texts without a known word aren't marked, whether all labelled texts are learned from or as many of either label."""
+    docs = [(i, speech(i, 60) + (" you awful scoundrel" if i % 10 == 0 else "")) for i in range(1000)] + [(-1, ""), (-2, "zzz")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, label int")
+    for most in (6000, 40):
+        monkeypatch.setattr(toxicity, "TEXTS", most)
+        got = byid(toxicity.judge(table, labels))
+        assert got[-1]["predicted"] == got[-2]["predicted"] == 0
+        assert sum(x["predicted"] for k, x in got.items() if k % 10 == 0 and x["held_out"]) > 0
+
+
 def test_quality_counts_of_edge_rows(edge):
     labels = edge.select("doc_id").withColumn("good", F.lit(True))
     got = byid(quality_rules.judge(edge, labels))
