@@ -70,7 +70,8 @@ def op8_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",").alias("spans"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

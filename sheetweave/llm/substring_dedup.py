@@ -12,9 +12,12 @@ agree on at least half their length either after or before such a place, its
 2. Classes whose lead no other class has can't match and are dropped.
 3. The others are range-partitioned by their leads with sampled splitters.  In
    each bucket they are sorted, and within a run of equal leads every window
-   around the place is compared.  A run is never split between buckets; one of
-   more than ``CROWD`` classes is compared by a shuffle of its window hashes
-   instead, so that it needn't fit in one task.
+   around the place is compared.  Equal leads never lie on both sides of a
+   splitter, so nothing has to be compared across one.  A run's work is its
+   classes times its windows: one of more than ``PART`` classes goes to several
+   tasks, each with all classes and a share of the windows, and one of more than
+   ``CROWD`` is compared by a shuffle of its window hashes, so that it needn't
+   fit in a task.
 4. Spans return to their documents.
 """
 
@@ -32,7 +35,8 @@ from .cluster import cut, width
 from .tokens import BYTE, Powers, chunks, mix, prefix_hashes, seeds
 
 GRAM = 16
-CROWD = 20_000
+#: Classes with one lead that a task compares in all of their windows, and those that fit in a task at all.
+PART, CROWD = 2048, 20_000
 BLOCK = 4096
 _ID = -(1 << 63)
 
@@ -101,7 +105,7 @@ def _places(length: int):
 def _surroundings(length: int):
     """Bytes around each wanted place; ``lead`` and ``rest`` are read away from the place on the lead's side and on the other."""
     half = length // 2
-    names = ["side", "lead", "far", "near", "id", "hash", "place"]
+    names = list(_AROUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +120,9 @@ def _surroundings(length: int):
                         lead, far, near = data[p : p + half], data[p + half : p + length], data[max(0, p - half) : p][::-1]
                     else:
                         lead, far, near = data[p - half : p][::-1], data[max(0, p - length + GRAM) : p - half][::-1], data[p : p + half]
-                    for x, y in zip(out, (w["side"], lead, far, near, cols["id"][row], cols["hash"][row], p), strict=True):
-                        x.append(y)
+                    for part in range(w["parts"]):
+                        for x, y in zip(out, (w["side"], lead, part, w["parts"], far, near, cols["id"][row], cols["hash"][row], p), strict=True):
+                            x.append(y)
                 if len(out[0]) >= BLOCK:
                     yield _batch(names, out)
                     out = [[] for _ in names]
@@ -127,9 +132,11 @@ def _surroundings(length: int):
     return run
 
 
+_AROUND = {"side": pa.int32(), "lead": pa.binary(), "part": pa.int32(), "parts": pa.int32(), "far": pa.binary(), "near": pa.binary(), "id": pa.int64(), "hash": pa.int32(), "place": pa.int32()}
+
+
 def _batch(names, out):
-    kinds = {"side": pa.int32(), "lead": pa.binary(), "far": pa.binary(), "near": pa.binary(), "id": pa.int64(), "hash": pa.int32(), "place": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(x, kinds[n]) for n, x in zip(names, out, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(x, _AROUND[n]) for n, x in zip(names, out, strict=True)], names=names)
 
 
 def _padded(column: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +147,11 @@ def _padded(column: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def window_hashes(side: int, lead: list[bytes], far: list[bytes], near: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each number of bytes on the near side: that number, the rows that have such a window, its hash in each row."""
+def window_hashes(side: int, lead: list[bytes], far: list[bytes], near: list[bytes], length: int, part: np.ndarray | None = None, parts: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of bytes on the near side: that number, the rows that have such a window, its hash in each row.
+
+    A row in ``part`` of several has only that share of its windows.
+    """
     half = length // 2
     x, _ = _padded(lead, half)
     y, far_n = _padded(far, half)
@@ -153,18 +163,22 @@ def window_hashes(side: int, lead: list[bytes], far: list[bytes], near: list[byt
         np.cumsum(BYTE[text[lo : lo + 1024]] * up[None, : text.shape[1]], axis=1, out=sums[lo : lo + 1024, 1:])
     # side 0: up to half the bytes before the place; side 1: fewer than half after it, and its gram at least.
     for n in range(0, half + 1) if side == 0 else range(GRAM, half):
-        rows = np.flatnonzero((near_n >= n) & (far_n >= length - n - half))
+        rows = np.flatnonzero((near_n >= n) & (far_n >= length - n - half) & (True if part is None else n % parts == part))
         if len(rows):
             i = half - n
             yield n, rows, mix((sums[rows, i + length] - sums[rows, i]) * down[i])
 
 
+def _run(cols: dict[str, list], i: int) -> tuple:
+    return cols["part"][i], cols["side"][i], cols["lead"][i]
+
+
 def _compare(length: int):
     names = ["id", "hash", "place", "start", "stop"]
 
     def block(cols: dict[str, list]) -> pa.RecordBatch | None:
         side = np.array(cols["side"])
-        new = np.array([True, *(a != b or s != t for a, b, s, t in zip(cols["lead"][1:], cols["lead"], cols["side"][1:], cols["side"], strict=False))])
+        new = np.array([True, *(_run(cols, i) != _run(cols, i - 1) for i in range(1, len(side)))])
         group = np.cumsum(new).astype(np.uint64)
         out: list[list] = [[] for _ in names]
         for s in (0, 1):
@@ -173,7 +187,7 @@ def _compare(length: int):
                 continue
             tag = mix(group[own])
             least, most = np.full(len(own), length), np.full(len(own), -1)
-            for n, rows, h in window_hashes(s, *([cols[c][i] for i in own] for c in ("lead", "far", "near")), length):
+            for n, rows, h in window_hashes(s, *([cols[c][i] for i in own] for c in ("lead", "far", "near")), length, *(np.array([cols[c][i] for i in own]) for c in ("part", "parts"))):
                 h = mix(h + tag[rows])
                 order = np.argsort(h)
                 same = h[order][1:] == h[order][:-1]
@@ -190,19 +204,19 @@ def _compare(length: int):
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {n: [] for n in ("side", "lead", "far", "near", "id", "hash", "place")}
+        held: dict[str, list] = {n: [] for n in _AROUND}
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
                 cols = {n: part.column(n).to_pylist() for n in held}
                 # A repeated row of the input gives its places again.
                 for i in range(part.num_rows):
-                    if not held["id"] or any(cols[n][i] != held[n][-1] for n in ("place", "side", "hash", "id", "lead")):
+                    if not held["id"] or any(cols[n][i] != held[n][-1] for n in ("place", "part", "side", "hash", "id", "lead")):
                         for n in held:
                             held[n].append(cols[n][i])
                 if len(held["id"]) >= BLOCK:
                     last = len(held["id"]) - 1
-                    while last and held["lead"][last] == held["lead"][last - 1] and held["side"][last] == held["side"][last - 1]:
+                    while last and _run(held, last) == _run(held, last - 1):
                         last -= 1
                     if last:
                         if (out := block({n: x[:last] for n, x in held.items()})) is not None:
@@ -273,15 +287,15 @@ def remove_repeats(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
     found = texts.mapInArrow(_places(length), "id long, hash int, place int, before int, after int, around long, key_after long, key_before long")
     classes = cut(found.groupBy("around").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("id", "hash", "place")).alias("at"), F.first("key_after").alias("key_after"), F.first("key_before").alias("key_before")).select("around", "n", "at.*", "key_after", "key_before"))
     sides = classes.select("n", "id", "hash", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("key_after").alias("key")), F.struct(F.lit(1).alias("side"), F.col("key_before").alias("key")))).alias("s")).select("n", "id", "hash", "place", "s.*").where("key is not null")
-    shared = cut(sides.groupBy("side", "key").agg(F.count("*").alias("m"), F.min("n").alias("rarest")).where("m > 1 and rarest = 1").select("side", "key", (F.col("m") > CROWD).alias("crowded")))
-    wanted = cut(sides.drop("n").join(shared, ["side", "key"]).groupBy("id", "hash", "crowded").agg(F.collect_list(F.struct("place", "side")).alias("wanted")))
+    shared = cut(sides.groupBy("side", "key").agg(F.count("*").alias("m"), F.min("n").alias("rarest")).where("m > 1 and rarest = 1").select("side", "key", (F.col("m") > CROWD).alias("crowded"), F.when(F.col("m") > CROWD, 1).otherwise(F.ceil(F.col("m") / PART)).cast("int").alias("parts")))
+    wanted = cut(sides.drop("n").join(shared, ["side", "key"]).groupBy("id", "hash", "crowded").agg(F.collect_list(F.struct("place", "side", "parts")).alias("wanted")))
 
     def around(crowded: bool) -> DataFrame:
         own = wanted.where(F.col("crowded") == crowded).drop("crowded")
-        return texts.join(own, ["id", "hash"]).mapInArrow(_surroundings(length), "side int, lead binary, far binary, near binary, id long, hash int, place int")
+        return texts.join(own, ["id", "hash"]).mapInArrow(_surroundings(length), "side int, lead binary, part int, parts int, far binary, near binary, id long, hash int, place int")
 
     spans = "id long, hash int, place int, start int, stop int"
-    ordered = around(False).repartitionByRange(width(spark), "side", "lead").sortWithinPartitions("side", "lead", "id", "hash", "place")
+    ordered = around(False).repartitionByRange(width(spark), "side", "lead", "part").sortWithinPartitions("side", "lead", "part", "id", "hash", "place")
     matched = ordered.mapInArrow(_compare(length), spans)
     if not shared.where("crowded").isEmpty():
         windows = around(True).distinct().mapInArrow(_windows(length), "lead_hash long, n int, window long, side int, id long, hash int, place int")

@@ -216,8 +216,9 @@ def without_substrings(texts: list[str], n: int) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("crowd", [20_000, 2])
-def test_substrings(edge, monkeypatch, crowd):
+@pytest.mark.parametrize(("part", "crowd"), [(2048, 20_000), (1, 20_000), (2, 2)])
+def test_substrings(edge, monkeypatch, part, crowd):
+    monkeypatch.setattr(substring_dedup, "PART", part)
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     got = substring_dedup.remove_repeats(edge).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(without_substrings([r[1] or "" for r in rows()], 400))
