@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import numpy
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,7 +254,47 @@ def test_toxicity(spark, edge):
     held = [k for k, x in got.items() if x["held_out"]]
     assert sum(got[k]["predicted"] == int(k % 5 == 0) for k in held) >= 0.97 * len(held)
     bare = byid(toxicity.judge(edge, labels.where("false")))
-    assert all(x["score"] == 0.5 for x in bare.values())
+    assert all(x["score"] == x["predicted"] == 0 for x in bare.values())
+    assert len(bare) == len({i for i, *_ in rows() if i is not None})
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Texts with one of the words that only toxic ones hold are caught, and labels without any are noise that isn't learned by heart."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id")
+    got = toxicity.judge(docs, labels).select("doc_id", "held_out", "predicted")
+    sign = "(?i)\\b(disgusting|idiot|pathetic|trash|loser|worthless|stupid|clown|scum|moron)\\b"
+    seen = got.join(docs.withColumn("sign", F.coalesce(F.col("text").rlike(sign), F.lit(False))), "doc_id").groupBy("held_out", "sign", "label").agg(F.count("*").alias("n"), F.sum("predicted").alias("marked")).collect()
+    n, marked = collections.Counter(), collections.Counter()
+    for r in seen:
+        n[r["held_out"], r["sign"], r["label"]], marked[r["held_out"], r["sign"], r["label"]] = r["n"], r["marked"]
+    assert marked[True, True, 1] >= 0.9 * n[True, True, 1] > 0
+    assert marked[True, False, 0] <= 0.02 * n[True, False, 0]
+    assert marked[False, False, 1] <= 0.2 * n[False, False, 1]
+
+
+def test_descent_follows_the_published_update():
+    """Against FTRL-proximal written out one coordinate at a time."""
+    r = random.Random(4)
+    data = [(sorted(r.sample(range(30), 6)), r.randrange(2)) for _ in range(80)]
+    z, n, bias, bias_n = collections.Counter(), collections.Counter(), 0.0, 0.0
+
+    def weight(i, l1):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in data:
+            w = {i: weight(i, 0.7) for i in x}
+            g = 1 / (1 + 2.718281828459045 ** -(bias + sum(w.values()))) - y
+            for i in x:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= toxicity.ALPHA / (toxicity.BETA + bias_n**0.5) * g
+    got, intercept = toxicity.descend([(numpy.array(x), y) for x, y in data], 0.7)
+    assert intercept == pytest.approx(bias)
+    assert [got[i] for i in range(30)] == pytest.approx([weight(i, 0.7) for i in range(30)])
 
 
 def test_toxicity_keeps_the_prior_of_a_bounded_sample(spark, monkeypatch):
