@@ -243,6 +243,42 @@ def test_personal_data_of_edge_rows(edge):
     assert got[5]["spans"] == "" and got[6]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_loose_spans_are_found_and_decoys_left_alone(spark):
+    """On the texts of sf0.1, with written-out spans and decoys that no base pattern takes added to them."""
+    r = random.Random(8)
+    planted, decoys = {}, []
+    for i in range(200):
+        kind = pii.KINDS[i % 4]
+        s = pii.loosened(kind, pii.varied(kind, "", 100_003 + i, WORDS), r.randrange(60))
+        if not any(pii.base_spans(s).values()):
+            planted[-1 - i] = (kind, f"{speech(i, 6)} {s} {speech(i + 1, 6)}", s)
+    words = "the cat sat down where they meet every noon without any reason".split()
+    for i in range(200):
+        s = pii.decoy(pii.KINDS[i % 3], pii.varied(pii.KINDS[i % 3], "", 200_003 + i, WORDS), r.randrange(60), words)
+        if not any(pii.base_spans(s).values()):
+            decoys.append((-1000 - i, f"{speech(i, 6)} {s} {speech(i + 1, 6)}"))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.train(docs)
+    more = spark.createDataFrame([(i, t) for i, (_, t, _) in planted.items()] + decoys, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(more, model, redact=False).collect()}
+    hit = sum(any(x == f"{k}:{t.index(s)}:{t.index(s) + len(s)}" for x in got[i].split(",")) for i, (k, t, s) in planted.items())
+    assert len(planted) > 100 and hit >= 0.9 * len(planted)
+    assert sum(bool(got[i]) for i, _ in decoys) <= 0.05 * len(decoys)
+    found = pii.find(docs, model, redact=False)
+    sizes = found.select(F.sum(F.expr("n_email + n_ip + n_card + n_phone")).alias("base"), F.sum(F.expr("if(spans = '', 0, size(split(spans, ',')))")).alias("all")).first()
+    assert sizes["all"] > sizes["base"]
+
+
+def test_base_columns_against_re(spark, sf_dir):
+    """The base columns over whole documents, from the patterns alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in QUERIES["op8_pii_boosted"](spark, sf_dir).collect()}
+    for r in docs.collect():
+        own = {k: [m.span() for m in re.finditer(p, r["text"] or "") if pii.passes(k, m.group())] for k, p in pii.BASE.items()}
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in own[k]).encode()).hexdigest()
+        assert got[r["doc_id"]] == (*(len(own[k]) for k in pii.KINDS), digest)
+
+
 # Toxicity and quality
 
 
