@@ -1,10 +1,12 @@
 """Mixing to target weights by iterative proportional fitting.
 
-Tokens are summed by cell (source, language, topic).  Each pass scales the cells'
-weights so that the weighted tokens of every source, then every language, then
-every topic have their target shares.  A document is kept with a probability in
-proportion to its cell's weight, at most 1, with the factor calibrated so that
-the expected tokens are the wanted share of all.
+Tokens are summed by cell (source, language, topic).  Targets are shares of the
+tokens to keep, for the categories of each dimension.  A category that holds
+fewer tokens than its target is kept whole, and the others share what it leaves
+in proportion to their targets.  Each pass scales the cells' probabilities, which
+end at 1, so that the expected tokens of every source, then every language, then
+every topic are those wanted; passes end when all three fit.  A document is kept
+with its cell's probability.
 """
 
 from __future__ import annotations
@@ -15,14 +17,13 @@ from pyspark.sql import functions as F
 from .cluster import stored
 
 DIMENSIONS = ("source", "lang", "topic")
-PASSES = 8
-#: A category's target share is in proportion to its tokens to this power: 1 keeps the mix, 0 makes it even.
+#: Passes at most, and the part of the tokens to keep by which a category may miss its target when they end.
+PASSES, TOLERANCE = 12, 0.002
+#: Where no targets are given: a category's share is in proportion to its tokens to this power: 1 keeps the mix, 0 makes it even.
 TEMPER = 0.5
 #: Expected share of tokens that is kept.
 KEEP = 0.6
-#: Calibration grid: factors for each of two refinements.
-GRID = 64
-#: Cells up to which their weights are broadcast; more are joined by a shuffle.
+#: Cells or categories up to which they are broadcast; more are joined by a shuffle.
 SMALL = 50_000
 #: Cells in a partition while they are raked.
 PART = 200_000
@@ -46,55 +47,77 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(cells: DataFrame, *, passes: int = PASSES, temper: float = TEMPER) -> DataFrame:
-    """``cells`` (dimensions and ``tokens``) with a ``weight`` each; cells without tokens have weight 0."""
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def wanted(cells: DataFrame, dimension: str, keep: float, *, temper: float = TEMPER, targets: DataFrame | None = None) -> DataFrame:
+    """``category, share, wanted``: each category's target share, and its tokens to keep.
+
+    In order of tokens over share, a category is kept whole as long as that
+    ratio is below what the rest can have for each part of a share.  What holds
+    for the first that isn't, the greatest such value, holds for the rest.
+    """
+    own = cells.groupBy(F.col(dimension).alias("category")).agg(F.sum("tokens").cast("double").alias("tokens"))
+    if targets is None:
+        asked = own.withColumn("share", F.pow("tokens", F.lit(temper)))
+    else:
+        given = targets.where(F.col("dimension") == dimension).groupBy("category").agg(F.sum("share").cast("double").alias("share"))
+        asked = own.join(given, "category").where("share > 0")
+    goal = own.agg((F.sum("tokens") * F.lit(float(keep))).alias("goal"))
+    shares = asked.join(F.broadcast(asked.agg(F.sum("share").alias("all")))).join(F.broadcast(goal)).selectExpr("category", "tokens", "share / all as share", "goal")
+    # One row for each category, few next to the documents, in one order.
+    before = "(order by tokens / share, category rows between unbounded preceding and 1 preceding)"
+    rated = shares.selectExpr("*", f"(goal - coalesce(sum(tokens) over {before}, 0)) / (1 - coalesce(sum(share) over {before}, 0)) as rate")
+    return rated.join(F.broadcast(rated.agg(F.max("rate").alias("best")))).selectExpr("category", "share", "least(tokens, share * best) as wanted")
+
+
+def rake(cells: DataFrame, *, keep: float = KEEP, temper: float = TEMPER, targets: DataFrame | None = None, passes: int = PASSES, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """``cells`` (dimensions and ``tokens``) with a ``probability``, and how the marginals came out.
+
+    ``targets`` has ``dimension, category, share``; shares are scaled to 1 over
+    the categories that have tokens.  A dimension that it doesn't name has the
+    tempered shares, a category missing from a dimension that it names none, and
+    so probability 0.  The second table has ``dimension, category, share, wanted,
+    expected``: the target's share, the tokens to keep and the expected ones.
+    """
     some = cells.where("tokens > 0")
     parts = 1 + some.count() // PART
-    fitted = stored(some.withColumn("weight", F.lit(1.0)).coalesce(parts))
-    targets = {}
-    for d in DIMENSIONS:
-        marginal = fitted.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("share"))
-        all_ = marginal.agg(F.sum("share").alias("all"))
-        targets[d] = stored(marginal.join(F.broadcast(all_)).select(d, (F.col("share") / F.col("all")).alias("target")).coalesce(parts))
-    whole = fitted.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
+    named = {r["dimension"] for r in targets.select("dimension").distinct().collect()} if targets is not None else set()
+    goals = {d: _few(stored(wanted(some, d, keep, temper=temper, targets=targets if d in named else None).coalesce(parts))) for d in DIMENSIONS}
+    fitted = some.withColumn("probability", F.lit(float(keep)))
+    goal = (some.agg(F.sum("tokens")).first()[0] or 0) * keep
+
+    def marginals(of: DataFrame) -> DataFrame:
+        each = [goals[d].join(of.groupBy(F.col(d).alias("category")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected")), "category").select(F.lit(d).alias("dimension"), "category", "share", "wanted", "expected") for d in DIMENSIONS]
+        return each[0].unionByName(each[1]).unionByName(each[2])
+
     for _ in range(passes):
         for d in DIMENSIONS:
-            now = fitted.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now")).join(targets[d], d)
-            factors = now.select(d, (F.col("target") * F.lit(whole) / F.col("now")).alias("factor"))
-            fitted = stored(fitted.join(factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor").coalesce(parts))
-    return cells.join(fitted.select(*DIMENSIONS, "weight"), list(DIMENSIONS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-
-
-def calibrate(cells: DataFrame, keep: float = KEEP) -> float:
-    """The factor c for which the sum of tokens * min(1, c * weight) is ``keep`` of all tokens."""
-    low, high = 1e-6, 1e6
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0]
-    if not total:
-        return 1.0
-    for _ in range(2):
-        step = (high / low) ** (1 / (GRID - 1))
-        grid = [low * step**i for i in range(GRID)]
-        kept = cells.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(c))).alias(f"k{i}") for i, c in enumerate(grid))).first()
-        under = [i for i, k in enumerate(kept) if k <= keep * total]
-        i = max(under, default=0)
-        low, high = grid[i], grid[min(i + 1, GRID - 1)]
-    return low
-
-
-def mix(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", topic: str = TOPIC, passes: int = PASSES, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
+            now = fitted.groupBy(F.col(d).alias("category")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("now")).join(goals[d], "category", "left").selectExpr(f"category as {d}", "coalesce(wanted / nullif(now, 0), 0) as factor")
+            fitted = fitted.join(now, d).withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.col("factor"))).drop("factor")
+        fitted = stored(fitted.coalesce(parts))
+        worst = marginals(fitted).agg(F.max(F.abs(F.col("expected") - F.col("wanted")))).first()[0] or 0.0
+        if worst <= tolerance * goal:
+            break
+    full = cells.join(fitted.select(*DIMENSIONS, "probability"), list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    return full, marginals(fitted)
+
+
+def mix(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", topic: str = TOPIC, targets: DataFrame | None = None, passes: int = PASSES, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
     """Every row of ``docs`` as the struct ``row``, with its cell, ``tokens``, ``weight``, ``probability`` and ``kept``.
 
-    Null sources and languages are the category ``unknown``.  A document without
-    words has probability 0 where its cell has no tokens, else its cell's.  Rows
-    that share an id share their fate within a cell.  ``kept`` compares the
-    probability with a number drawn from the id's hash, so a rerun keeps the same.
+    ``targets`` and what follows from it: see ``rake``.  ``weight`` is the
+    probability over ``keep``.  Null sources and languages are the category
+    ``unknown``.  A document without words has probability 0 where its cell has
+    no tokens, else its cell's.  Rows that share an id share their fate within a
+    cell.  ``kept`` compares the probability with a number drawn from the id's
+    hash, so a rerun keeps the same.
     """
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("source", "lang")))
     rows = named.withColumn("topic", F.expr(topic)).withColumn("tokens", tokens(F.col("text")))
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    weighted = stored(rake(cells, passes=passes, temper=temper))
-    factor = calibrate(weighted, keep)
-    weights = weighted.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(factor)).alias("probability"))
-    if weights.count() <= SMALL:
-        weights = F.broadcast(weights)
+    raked, _ = rake(cells, passes=passes, temper=temper, keep=keep, targets=targets)
+    weights = _few(stored(raked.select(*DIMENSIONS, (F.col("probability") / F.lit(float(keep))).alias("weight"), "probability")))
     return rows.join(weights, list(DIMENSIONS)).withColumn("kept", uniform(F.col("id")) < F.col("probability")).select("row", "id", *DIMENSIONS, "tokens", "weight", "probability", "kept")

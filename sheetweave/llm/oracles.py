@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import DIMENSIONS, GRID, KEEP, PASSES, TEMPER, TOPIC
+from .mixing import DIMENSIONS, KEEP, PASSES, TEMPER, TOLERANCE, TOPIC
 from .quality_rules import ERROR, RISK, RULES
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -26,27 +26,26 @@ from marked m left join starts s using (doc_id) group by m.doc_id"""
 def raked_mixture() -> str:
     cats = ", ".join(f"coalesce({d}, 'unknown') as {d}" for d in DIMENSIONS[:2])
     dims = ", ".join(DIMENSIONS)
+    before = "(order by tokens / share, category rows between unbounded preceding and 1 preceding)"
     steps = [f"""base as materialized (select doc_id, {cats}, {TOPIC} as topic, len({_WORDS.format("coalesce(text, '')")}) as tokens from documents),
 cells as materialized (select {dims}, sum(tokens)::double as tokens from base group by all),
-w0 as materialized (select *, 1.0::double as weight from cells where tokens > 0),
-whole as materialized (select sum(tokens) as total from cells)"""]
+w0 as materialized (select *, {KEEP}::double as p from cells where tokens > 0),
+whole as materialized (select sum(tokens) * {KEEP}::double as goal from w0),
+a0 as materialized (select true as active)"""]
     for d in DIMENSIONS:
-        steps.append(f"t_{d} as materialized (select {d}, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) over () as target from w0 group by {d})")
+        steps.append(f"""o_{d} as materialized (select {d} as category, sum(tokens) as tokens, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) over () as share from w0 group by {d}),
+r_{d} as materialized (select *, (goal - coalesce(sum(tokens) over {before}, 0)) / (1 - coalesce(sum(share) over {before}, 0)) as rate from o_{d}, whole),
+t_{d} as materialized (select category as {d}, least(tokens, share * (select max(rate) from r_{d})) as wanted from r_{d})""")
     n = 0
-    for _ in range(PASSES):
+    for k in range(PASSES):
         for d in DIMENSIONS:
-            steps.append(f"w{n + 1} as materialized (select w.* replace (weight * target * total / now as weight) from w{n} w join (select {d}, sum(weight * tokens) as now from w{n} group by {d}) using ({d}) join t_{d} using ({d}), whole)")
+            steps.append(f"w{n + 1} as materialized (select w.* replace (case when active then least(1.0, p * coalesce(wanted / nullif(now, 0), 0)) else p end as p) from w{n} w join (select {d}, sum(p * tokens) as now from w{n} group by {d}) using ({d}) join t_{d} using ({d}), a{k})")
             n += 1
-    for k, (low, high) in enumerate((("1e-6::double", "1e6::double"), ("low", "high"))):
-        source = "" if k == 0 else ", f0"
-        steps.append(f"""g{k} as materialized (select i, {low} * pow({high} / {low}, i / {GRID - 1}.0) as c from range({GRID}) r(i){source}),
-k{k} as materialized (select i, c, sum(tokens * least(1.0, weight * c)) as kept from g{k}, w{n} group by i, c),
-p{k} as materialized (select coalesce(max(i) filter (where kept <= {KEEP} * total), 0) as i from k{k}, whole),
-f{k} as materialized (select min(c) filter (where g.i = p.i) as low, min(c) filter (where g.i = least(p.i + 1, {GRID - 1})) as high from g{k} g, p{k} p)""")
-    return "with " + ",\n".join(steps) + f""",
-scored as (select doc_id, b.source, b.lang, b.topic, b.tokens, coalesce(w.weight, 0) as weight, least(1.0, coalesce(w.weight, 0) * f1.low) as probability
-  from base b left join w{n} w using ({dims}), f1)
-select doc_id, source, lang, topic, tokens, round(weight, 6) as weight, round(probability, 6) as probability, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0 < probability as kept from scored"""
+        misses = " union all ".join(f"select abs(sum(p * tokens) - any_value(wanted)) as miss from w{n} join t_{d} using ({d}) group by {d}" for d in DIMENSIONS)
+        steps.append(f"a{k + 1} as materialized (select any_value(active) and max(miss) > {TOLERANCE} * any_value(goal) as active from ({misses}), whole, a{k})")
+    return "with " + ",\n".join(steps) + f"""
+select doc_id, b.source, b.lang, b.topic, b.tokens, round(coalesce(p, 0) / {KEEP}, 6) as weight, round(coalesce(p, 0), 6) as probability, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0 < coalesce(p, 0) as kept
+from base b left join w{n} using ({dims})"""
 
 
 def quality_rules() -> str:

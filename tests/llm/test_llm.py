@@ -373,19 +373,50 @@ def test_binomial_tail_is_exact(spark):
 # Mixing and packing
 
 
-def test_raked_marginals(spark, edge):
+def fitted(spark, cells: dict, shares: dict, keep: float) -> tuple[dict, dict]:
+    """Raked probabilities by cell, and expected tokens by (dimension, category)."""
+    table = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    targets = spark.createDataFrame([(d, c, float(x)) for (d, c), x in shares.items()], "dimension string, category string, share double") if shares else None
+    raked, report = mixing.rake(table, keep=keep, targets=targets)
+    got = {tuple(r[d] for d in mixing.DIMENSIONS): r["probability"] for r in raked.collect()}
+    expected = collections.Counter()
+    for c, n in cells.items():
+        for d, x in zip(mixing.DIMENSIONS, c, strict=True):
+            expected[d, x] += n * got[c]
+    told = {(r["dimension"], r["category"]): r for r in report.collect()}
+    assert all(told[k]["expected"] == pytest.approx(expected[k]) for k in told)
+    return got, told
+
+
+def test_raked_to_given_targets(spark):
+    """Reachable targets are met in all three dimensions at once, up to the tolerance."""
+    r = random.Random(5)
+    cells = {(s, x, t): r.randrange(500, 5000) for s in ("a", "b", "c") for x in ("en", "de") for t in ("p", "q")}
+    shares = {("source", "a"): 0.5, ("source", "b"): 0.3, ("source", "c"): 0.2, ("lang", "en"): 0.6, ("lang", "de"): 0.4, ("topic", "p"): 0.45, ("topic", "q"): 0.55}
+    got, told = fitted(spark, cells, shares, 0.3)
+    goal = 0.3 * sum(cells.values())
+    assert all(abs(told[k]["expected"] / goal - x) <= 2 * mixing.TOLERANCE for k, x in shares.items())
+    assert all(0 < p <= 1 for p in got.values())
+
+
+def test_raked_to_targets_out_of_reach(spark):
+    """A category that is too small is kept whole and the rest shares what it leaves; one that isn't asked for goes."""
+    cells = {("a", "en", "p"): 9000, ("b", "en", "p"): 900, ("c", "en", "p"): 100, ("d", "en", "p"): 1000, ("a", "en", "q"): 0}
+    got, told = fitted(spark, cells, {("source", "a"): 1, ("source", "b"): 1, ("source", "c"): 2, ("source", "x"): 5}, 0.2)
+    goal = 0.2 * sum(cells.values())
+    assert told["source", "c"]["expected"] == pytest.approx(100)
+    assert got["c", "en", "p"] == pytest.approx(1) and got["d", "en", "p"] == 0 and got["a", "en", "q"] == 0
+    assert told["source", "b"]["expected"] == pytest.approx(900)
+    assert told["source", "a"]["expected"] == pytest.approx(goal - 1000, rel=0.01)
+
+
+def test_mixture_of_edge_rows(spark, edge):
     got = mixing.mix(edge, keep=0.5).collect()
     assert len(got) == len(rows())
-    total = sum(r["tokens"] for r in got)
-    for d in mixing.DIMENSIONS:
-        tokens, weighted = collections.Counter(), collections.Counter()
-        for r in got:
-            tokens[r[d]] += r["tokens"]
-            weighted[r[d]] += r["tokens"] * r["weight"]
-        power = {k: v**mixing.TEMPER for k, v in tokens.items() if v}
-        if d == mixing.DIMENSIONS[-1]:  # the last that was scaled fits exactly
-            assert all(weighted[k] / total == pytest.approx(v / sum(power.values()), rel=1e-6) for k, v in power.items())
-    assert sum(r["tokens"] * r["probability"] for r in got) == pytest.approx(0.5 * total, rel=0.02)
+    assert {r["source"] for r in got} == {"unknown", "s0", "s1"}
+    total, kept = sum(r["tokens"] for r in got), sum(r["tokens"] * r["probability"] for r in got)
+    assert 0 < kept <= 0.51 * total
+    assert all(not r["kept"] for r in got if r["row"]["text"] is None and r["probability"] == 0)
 
 
 def best_fit(pieces, capacity, per_source):
