@@ -21,12 +21,14 @@ from .sampling import bounded, held_out
 from .tokens import LOWER, chunks, mix
 
 GRAM = 4
-#: Filter positions (a power of two) and hash functions.
-POSITIONS, HASHES = 1 << 20, 3
+#: Filter positions for each language (their sum is rounded up to a power of two), hash functions, and bits of a hash each may use.
+POSITIONS, HASHES, BITS = 1 << 18, 3, 26
+#: Languages that a filter can hold: 128 take 1 << 25 positions of 16 bytes.
+LANGUAGES = 128
 #: Texts that a language is learned from, at most.
 TEXTS = 2000
-#: N-grams that the filter holds, at most, the most frequent first; and texts' n-grams that are rarer are left out.
-GRAMS, RARE = 150_000, 5
+#: N-grams that the filter holds for each language, at most, the most frequent first; n-grams that are rarer are left out.
+GRAMS, RARE = 37_500, 5
 #: An n-gram belongs to a language where its rate is at least this share of its highest rate in any language.
 SHARE = 0.25
 UNKNOWN = "und"
@@ -54,9 +56,11 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return joined, np.minimum(start, len(joined)), np.minimum(np.maximum(start, stop - GRAM + 1), len(joined))
 
 
-def slots(gram: np.ndarray) -> list[np.ndarray]:
-    h = mix(gram.astype(np.uint64) + np.uint64(0x51ED270B))
-    return [((h >> np.uint64(20 * j)) & np.uint64(POSITIONS - 1)).astype(np.int64) for j in range(HASHES)]
+def slots(gram: np.ndarray, positions: int) -> list[np.ndarray]:
+    """The positions of each n-gram, one for each hash function."""
+    first, second = mix(gram.astype(np.uint64) + np.uint64(0x51ED270B)), mix(gram.astype(np.uint64) + np.uint64(0x2F0B4C47))
+    parts = [first, first >> np.uint64(64 - BITS), second]
+    return [(h & np.uint64(positions - 1)).astype(np.int64) for h in parts[:HASHES]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,22 +76,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A filter from at most ``TEXTS`` texts of each language; what comes to the driver is at most ``GRAMS`` n-grams."""
+    """A filter from at most ``TEXTS`` texts of each language; what comes to the driver is at most ``GRAMS`` n-grams a language.
+
+    Rows with a null id, text or language aren't learned from.  Of several rows
+    with one id and language the text that is first in order is.
+    """
     # Texts are joined to the drawn ids, so no text is ranked or kept that isn't drawn.
     rows = labelled.select(F.col(doc_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and doc_id is not null and text is not null")
-    drawn = bounded(rows.select("doc_id", "lang"), "lang", "doc_id", TEXTS)
-    counted = cut(rows.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    drawn = bounded(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", TEXTS)
+    texts = rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    counted = cut(texts.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
         return Model([], np.zeros((POSITIONS, 1), np.uint8), np.zeros(0))
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; a filter holds {LANGUAGES}")
+    positions = 1 << (POSITIONS * len(languages) - 1).bit_length()
     rates = F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(1.0 / totals[name]))))
     rated = counted.withColumn("rate", F.col("n") * rates[F.col("lang")])
     best = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.sum("n").alias("all"), F.collect_list(F.struct("lang", "rate")).alias("each")).where(F.col("all") >= RARE)
-    kept = best.orderBy(F.desc("top"), "gram").limit(GRAMS).select("gram", F.transform(F.filter("each", lambda e: e["rate"] >= SHARE * F.col("top")), lambda e: e["lang"]).alias("langs")).collect()
-    bits = np.zeros((POSITIONS, -(-len(languages) // 8)), np.uint8)
+    kept = best.orderBy(F.desc("top"), "gram").limit(GRAMS * len(languages)).select("gram", F.transform(F.filter("each", lambda e: e["rate"] >= SHARE * F.col("top")), lambda e: e["lang"]).alias("langs")).collect()
+    bits = np.zeros((positions, -(-len(languages) // 8)), np.uint8)
     number = {name: i for i, name in enumerate(languages)}
-    for s in slots(np.array([r["gram"] for r in kept], np.uint64)):
+    for s in slots(np.array([r["gram"] for r in kept], np.uint64), positions):
         for i, name in enumerate(languages):
             own = s[[name in r["langs"] for r in kept]]
             bits[own, number[name] // 8] |= np.uint8(1 << (i % 8))
@@ -96,7 +108,7 @@ def train(labelled: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text
 
 
 def _predict(model):
-    names = ["row", "held_out", "lang_pred", "score"]
+    names = ["row", "held_out", "lang_pred", "score", "hits", "n_grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*model.value)
@@ -109,7 +121,7 @@ def _predict(model):
                 n = np.maximum(stop - start, 1)
                 counts = np.zeros((hi - lo, max(1, len(m.languages))))
                 if m.languages and len(gram):
-                    a, b, c = (m.filter[s] for s in slots(gram))
+                    a, b, c = (m.filter[s] for s in slots(gram, len(m.filter)))
                     bits = a & b & c
                     for i in range(len(m.languages)):
                         upto = np.zeros(len(gram) + 1, np.int64)
@@ -125,24 +137,40 @@ def _predict(model):
                     spoken[i] = any(ch.isalpha() for ch in texts[lo + int(i)].as_py())
                 spoken &= bool(m.languages)
                 pred = [m.languages[k] if ok else UNKNOWN for k, ok in zip(first, spoken, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], batch.column("held_out")[lo:hi], pa.array(pred, pa.string()), pa.array(np.where(spoken, score, 0.0))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], batch.column("held_out")[lo:hi], pa.array(pred, pa.string()), pa.array(np.where(spoken, score, 0.0)), pa.array(counts[np.arange(hi - lo), first]), pa.array((stop - start).astype(np.int64))], names=names)
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, *, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row; only the text decides.
+    """``doc_id, held_out, lang_pred, score, hits, n_grams`` for each row; only the text decides.
 
     ``und`` with score 0 where the text is null or has no letter, or where no
     language was learned.  The score is the winner's share of all corrected
-    counts.  Ties go to the first language in order of name.  With ``keep``, the
-    struct ``row`` of those columns takes the place of ``doc_id``.
+    counts, ``hits`` its corrected count among the text's ``n_grams``.  Ties go to
+    the first language in order of name.  Repeated rows are predicted each, and
+    texts of any length as a whole.  With ``keep``, the struct ``row`` of those
+    columns takes the place of ``doc_id``.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.filter, model.false_rate))
     row = F.struct(*(F.col(f"`{c}`") for c in keep or [doc_col]))
     rows = docs.select(row.alias("row"), held_out(F.col(doc_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    judged = rows.mapInArrow(_predict(shared), f"row {rows.schema['row'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
-    return judged if keep else judged.select(F.col(f"row.`{doc_col}`").alias("doc_id"), "held_out", "lang_pred", "score")
+    judged = rows.mapInArrow(_predict(shared), f"row {rows.schema['row'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, hits double, n_grams long")
+    return judged if keep else judged.select(F.col(f"row.`{doc_col}`").alias("doc_id"), "held_out", "lang_pred", "score", "hits", "n_grams")
+
+
+def usual_rates(labelled: DataFrame, model: Model, *, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language, the share of hits among n-grams that 99 of 100 of its texts have, on at most ``TEXTS`` of them."""
+    rows = labelled.select(F.col(doc_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and doc_id is not null and text is not null")
+    drawn = bounded(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", TEXTS)
+    judged = predict(rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi"), model, keep=["doc_id", "lang"]).where("n_grams > 0 and row.lang = lang_pred")
+    found = judged.groupBy("lang_pred").agg(F.percentile_approx(F.col("hits") / F.col("n_grams"), 0.01).alias("rate")).collect()
+    return {r["lang_pred"]: r["rate"] for r in found}
+
+
+def fluent(hits, n_grams, rate):
+    """Whether a text has as many hits as a text of its language can be expected to: half the usual rate, less two standard errors."""
+    return hits >= rate / 2 * n_grams - 2 * F.sqrt(n_grams)
 
 
 def identify(docs: DataFrame) -> DataFrame:

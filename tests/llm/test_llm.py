@@ -488,10 +488,53 @@ def test_pipeline_stages(spark, sf_dir):
 def test_pipeline_on_edge_rows(spark, edge):
     import corpus_pipeline
 
-    docs = edge
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "")
-    docs.collect()
+    docs, ids = edge, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cluster.stored(stage(spark, docs, ""))
+        ids[name] = collections.Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    # Null, empty, blank and letterless texts have no language; a null id is judged by its text.
+    assert not {5, 6, 7, 12} & set(ids["language"]) and ids["language"][20] == 2 and None in ids["language"]
+    # 14 repeats the lines of 13 and keeps what is its own; whole copies of an earlier text go.
+    assert {13, 14, 16} <= set(ids["lines"]) and not {1, 2, 20} & set(ids["lines"])
+    assert 17 not in ids["language"]  # one letter, 50,000 times
+    assert ids["near"] <= ids["lines"] and ids["mixture"] <= ids["near"]
+    assert set(ids["packing"]) == set(ids["mixture"])
+
+
+def test_pipeline_on_an_empty_table(spark, none):
+    import corpus_pipeline
+
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cluster.stored(stage(spark, docs, ""))
+        assert docs.count() == 0, name
+
+
+def test_unlearned_languages_go(spark):
+    """Texts of a language without labels, and random letters, are rejected; those of the learned ones stay."""
+    import corpus_pipeline
+
+    r = random.Random(2)
+    known = [(i, speech(i, 80), "en", "s", 1) for i in range(300)]
+    junk = ["".join(r.choice("bcdfghjklmnpqrstvwxzäöy ") for _ in range(900)) for _ in range(20)] + ["kuukausi hyvä yöllä päivää " + " ".join(r.choice(("talossa", "järvellä", "metsään", "kesällä", "vuoden", "ihmiset")) for _ in range(90)) for _ in range(20)]
+    docs = spark.createDataFrame(known + [(1000 + i, t, None, "s", 1) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == set(range(300))
+
+
+def test_bitmask_counts_against_sets(spark):
+    """Every n-gram that was learned is found in its languages, and corrected counts are close to those of plain sets."""
+    texts = {"a": "the cat sat on the mat with a hat " * 30, "b": "der hund lief um den grund und bellte " * 30}
+    docs = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = lang_id.train(docs)
+    own = {n: collections.Counter((" " + t + " ")[i : i + lang_id.GRAM] for i in range(len(t) + 3 - lang_id.GRAM)) for n, t in texts.items()}
+    rate = {n: {g: c / sum(own[n].values()) for g, c in own[n].items()} for n in own}
+    kept = {n: {g for g, x in rate[n].items() if own["a"][g] + own["b"][g] >= lang_id.RARE and x >= lang_id.SHARE * max(rate[m].get(g, 0) for m in rate)} for n in own}
+    got = byid(lang_id.predict(docs, model))
+    for i, (n, t) in enumerate(texts.items()):
+        want = sum(c for g, c in own[n].items() if g in kept[n])
+        assert got[i]["lang_pred"] == n and got[i]["n_grams"] == sum(own[n].values())
+        assert got[i]["hits"] == pytest.approx(want, rel=0.01)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
