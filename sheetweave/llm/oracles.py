@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from .line_dedup import MIN_WORDS
 from .mixing import DIMENSIONS, KEEP, PASSES, TEMPER, TOLERANCE, TOPIC
 from .quality_rules import ERROR, RISK, RULES
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
-def line_runs(min_words: int = 8) -> str:
+def line_runs(min_words: int = MIN_WORDS) -> str:
     return rf"""
 with parts as (select doc_id, string_split(text, chr(10)) as ls from documents),
 lines as (select doc_id, unnest(range(1, len(ls) + 1)) as pos, unnest(ls) as line from parts),
