@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
         within = every.select("signature", "component", "size").mapInArrow(_regions, region).join(F.broadcast(crowds), "region")
         wanted = wanted.unionByName(within.select(F.col("component").alias("doc_id")))
     wanted = cut(wanted.distinct())
-    needed = cut(texts.join(wanted, "doc_id", "left_semi"))
+    needed = cut(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     links = confirmed(first)
     joined = components(links).withColumnRenamed("node", "doc_id")
     ranked = cut(classes.join(wanted, "doc_id", "left_semi").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
