@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the folder that the session names.
 
-    Only where no folder is named, as in local tests, a temporary one is set.
+    Where no folder is named, a local session, as in tests, gets a temporary one;
+    on a cluster, where executors don't share it, that is an error.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -22,7 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sheetweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sheetweave-"))
     return context.getCheckpointDir()
 
 

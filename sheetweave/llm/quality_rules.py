@@ -4,7 +4,9 @@ Rules compare a feature of a text with a cutoff.  For every stratum and rule the
 strictest cutoff of a fixed ladder is taken for which an exact binomial test on
 labelled good texts shows that it rejects at most ``risk / rules`` of them.  The
 tests share the error probability ``error`` by Bonferroni's correction, so with
-probability ``1 - error`` no stratum loses more than ``risk`` of its good texts.
+probability ``1 - error`` no stratum loses more than ``risk`` of its good texts to
+them.  Texts that fail the base go before and don't count among the good ones
+here: what the base rejects isn't covered by the guarantee.
 Where a stratum has too few labels for any cutoff, its rules stay off.
 
 Everything is DataFrame expressions: no Python runs in tasks.
