@@ -11,9 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INTEGER, REAL = r"^[+-]?[0-9]{1,18}$", r"^[+-]?[0-9]+\.[0-9]+$"
-# The accepted date and datetime shapes, fields padded or not.
-DATES = ("yyyy-M-d", "yyyy/M/d")
-DATETIMES = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy-M-d'T'H:m", "yyyy/M/d H:m:s", "yyyy/M/d H:m")
+# The accepted date and datetime shapes, fields padded or not, each with the text that has it.
+_D, _S, _HM, _HMS = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", r"[0-9]{1,2}:[0-9]{1,2}", r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+DATES = {"yyyy-M-d": _D, "yyyy/M/d": _S}
+DATETIMES = {"yyyy-M-d H:m:s": f"{_D} {_HMS}", "yyyy-M-d'T'H:m:s": f"{_D}T{_HMS}", "yyyy-M-d H:m": f"{_D} {_HM}", "yyyy-M-d'T'H:m": f"{_D}T{_HM}", "yyyy/M/d H:m:s": f"{_S} {_HMS}", "yyyy/M/d H:m": f"{_S} {_HM}"}
 
 
 def blank(c: Column) -> Column:
@@ -32,8 +33,10 @@ def is_real(c: Column) -> Column:
     return clean_number(c).rlike(REAL)
 
 
-def _parsed(c: Column, shapes: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(x)) for x in shapes))
+def _parsed(c: Column, shapes: dict[str, str]) -> Column:
+    """Only a text of a shape is parsed, by that shape alone: a parse that fails costs far more than a match."""
+    t = F.trim(c)
+    return F.when(t.rlike("^[0-9]{4}[-/]"), F.coalesce(*(F.when(t.rlike(f"^{text}$"), F.try_to_timestamp(t, F.lit(shape))) for shape, text in shapes.items())))
 
 
 def is_date(c: Column) -> Column:

@@ -29,6 +29,11 @@ def profile(grid: DataFrame) -> DataFrame:
     return grid.groupBy("source_id").agg(F.count("*").alias("row_count"), F.max(F.size("cells")).cast("bigint").alias("column_count"), F.count_if(n == 0).alias("blank_rows"), F.percentile(n, F.lit(0.5)).alias("median_filled"))
 
 
+def median_of(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """The exact median of each group, the mean of the two middle values where there are two; from partial counts of each value."""
+    return rows.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias(name))
+
+
 def footers(grid: DataFrame) -> DataFrame:
     """Rows with a cell that says total, grand total or rounding error and nothing else."""
     marks = F.array(F.lit("total"), F.lit("grand total"), F.lit("rounding error"))
@@ -45,41 +50,54 @@ def occupancy(rows: list[list[str]]) -> np.ndarray:
     return fill_holes(closed)
 
 
+def _stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true cells by row (row, first, last), and the number of each one's region.
+
+    Runs that touch in neighbouring rows are joined, row after row, so the time
+    follows the cells, whatever shape a region has.
+    """
+    edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edges == 1)
+    last = np.nonzero(edges == -1)[1] - 1
+    root = list(range(len(row)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    at = np.searchsorted(row, np.arange(len(mask) + 1))
+    for r in range(1, len(mask)):
+        i, j = at[r - 1], at[r]
+        while i < at[r] and j < at[r + 1]:
+            if first[i] <= last[j] and first[j] <= last[i]:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+            if last[i] < last[j]:
+                i += 1
+            else:
+                j += 1
+    return row, first, last, np.array([find(x) for x in range(len(root))], int)
+
+
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     """Blank cells that no path of blanks joins to the border become filled."""
-    rim = np.pad(~mask, 1, constant_values=True)
-    outside = np.zeros_like(rim)
-    outside[0, :] = True
-    while True:
-        grown = outside.copy()
-        grown[1:] |= outside[:-1]
-        grown[:-1] |= outside[1:]
-        grown[:, 1:] |= outside[:, :-1]
-        grown[:, :-1] |= outside[:, 1:]
-        grown &= rim
-        if (grown == outside).all():
-            return ~outside[1:-1, 1:-1]
-        outside = grown
+    row, first, last, region = _stretches(np.pad(~mask, 1, constant_values=True))
+    out = mask.copy()
+    for r, a, b, k in zip(row, first, last, region, strict=True):
+        if k != region[0]:
+            out[r - 1, a - 1 : b] = True
+    return out
 
 
 def boxes(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Bounding boxes (first row, last row, first column, last column) of 4-connected regions, in order."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        low = np.where(mask, label, mask.size + 1)
-        for a, b in (((slice(1, None),), (slice(None, -1),)), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
-            both = mask[a] & mask[b]
-            low[a] = np.where(both, np.minimum(low[a], low[b]), low[a])
-            low[b] = np.where(both, np.minimum(low[a], low[b]), low[b])
-        new = np.where(mask, low, 0)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for k in np.unique(label[label > 0]):
-        r, c = np.nonzero(label == k)
-        out.append((int(r.min()), int(r.max()), int(c.min()), int(c.max())))
-    return sorted(out)
+    found: dict[int, tuple[int, int, int, int]] = {}
+    for r, a, b, k in zip(*(x.tolist() for x in _stretches(mask)), strict=True):
+        top, _, left, right = found.get(k, (r, r, a, b))
+        found[k] = (top, r, min(left, a), max(right, b))
+    return sorted(found.values())
 
 
 def _regions(grid: pd.DataFrame) -> pd.DataFrame:

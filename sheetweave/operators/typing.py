@@ -27,9 +27,10 @@ def infer_types(table: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def typed_view(table: DataFrame) -> DataFrame:
-    """The table with every column in its inferred type."""
-    kinds = {r["column_name"]: r["column_type"] for r in infer_types(table).collect()}
+def typed_view(table: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """The table with every column in its type: one of ``kinds``, where they are known, or else the inferred one."""
+    if kinds is None:
+        kinds = {r["column_name"]: r["column_type"] for r in infer_types(table).collect()}
     return table.select(*(typed(F.col(f"`{c}`"), kinds[c]).alias(c) for c in table.columns))
 
 

@@ -7,31 +7,90 @@ from typing import Any
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-#: Nodes of a parsed plan that change something, wherever they stand.
-_WRITES = ("InsertInto", "Command", "CreateTable", "CreateView", "DropTable", "DropView", "Delete", "Update", "Merge", "Truncate", "AlterTable", "SetCatalog", "CacheTable", "Overwrite", "AppendData", "LoadData", "ReplaceTable", "RenameTable", "AddColumns", "RefreshTable", "CreateNamespace", "DropNamespace", "CreateVariable", "SetVariable", "CreateFunction", "DropFunction")
+# Nodes of a parsed plan that only read; any other is refused.
+READS = {
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Sample", "Sort", "SubqueryAlias", "Tail", "Union", "Unpivot",
+    "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedPivot", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedUnpivot", "UnresolvedWith", "Values", "Window", "WithWindowDefinition",
+}
+# Functions that run code outside of Spark's expressions.
+CALLS = {"reflect", "java_method", "try_reflect"}
+#: Names of catalog tables start so; queries from outside may not read them.
+PRIVATE = "_tabular_"
 
 
 class NotReadOnly(ValueError):
     """The statement isn't a query."""
 
 
-def check_read_only(spark: SparkSession, sql: str) -> str:
-    """The statement without a final semicolon; raises for all but one SELECT, WITH, VALUES or EXPLAIN."""
-    text = sql.strip().rstrip(";").strip()
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _calls(expressions: list) -> list[str]:
+    """Names of the functions in expressions."""
+    found, todo = [], list(expressions)
+    while todo:
+        e = todo.pop()
+        if e.nodeName() == "UnresolvedFunction":
+            found.append(_each(e.nameParts())[-1].lower())
+        todo += _each(e.children())
+    return found
+
+
+def _walk(plan) -> tuple[list[str], list[str], list[str]]:
+    """Kinds of all nodes of a parsed plan and its subqueries, the functions called, and the relations read."""
+    kinds, calls, relations, todo = [], [], [], [plan]
+    while todo:
+        node = todo.pop()
+        kinds.append(node.nodeName())
+        if kinds[-1] == "UnresolvedRelation":
+            relations.append(".".join(_each(node.multipartIdentifier())))
+        if kinds[-1] == "UnresolvedTableValuedFunction":
+            calls.append(_each(node.name())[-1].lower())
+        calls += _calls(_each(node.expressions()))
+        inner = [x for x in _each(node.innerChildren()) if hasattr(x, "subqueries")]
+        todo += _each(node.children()) + _each(node.subqueries()) + inner
+    return kinds, calls, relations
+
+
+def parsed(spark: SparkSession, sql: str):
+    """The parsed plan of one statement; it isn't analysed, and nothing runs."""
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # the JVM's parse error
         raise NotReadOnly(f"not one readable statement: {str(e).splitlines()[0][:200]}") from e
-    names = [line.strip(" +-:|'").split(" ")[0].split("(")[0] for line in plan.toString().splitlines()]
-    head = names[0] if names else ""
-    if head.startswith("ExplainCommand"):
-        return text
-    for name in names:
-        if any(w in name for w in _WRITES):
+
+
+def check_read_only(spark: SparkSession, sql: str, *, explain: bool = True, private: bool = True) -> str:
+    """The statement without a final semicolon; raises for all but one query, or EXPLAIN of one.
+
+    Every node of the plan and of its subqueries must be one that reads, and no
+    function may run foreign code.  Without ``explain``, EXPLAIN is refused, too,
+    and without ``private``, catalog tables.  Parsing is on the JVM, so a session
+    of Spark Connect isn't served.
+    """
+    text = sql.strip().rstrip(";").strip()
+    plan = parsed(spark, text)
+    if explain and plan.nodeName() == "ExplainCommand":
+        plan = plan.logicalPlan()
+    kinds, calls, relations = _walk(plan)
+    for kind in kinds:
+        if kind not in READS:
+            raise NotReadOnly(f"{kind} isn't allowed")
+    for name in calls:
+        if name in CALLS:
             raise NotReadOnly(f"{name} isn't allowed")
+    if not private and any(PRIVATE in r.lower() for r in relations):
+        raise NotReadOnly("catalog tables aren't open to queries")
     return text
 
 
+def referenced_names(spark: SparkSession, sql: str, known: list[str]) -> list[str]:
+    """The names in ``known`` that a query reads, in order; names it defines itself don't count."""
+    read = {r.split(".")[-1].lower() for r in _walk(parsed(spark, sql.strip().rstrip(";")))[2]}
+    return sorted(n for n in known if n.lower() in read)
+
+
 def run_query(spark: SparkSession, sql: str, max_rows: int = 200) -> dict[str, Any]:
     """Columns, at most ``max_rows`` rows, and whether there were more; an error has its kind and a message."""
     n = max(1, max_rows)

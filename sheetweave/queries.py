@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import cells
-from .operators import catalog, documents, layout, reshape, search, typing
+from .operators import catalog, documents, layout, reshape, search, segment, typing
 from .sources import grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,7 +159,7 @@ def distinct_value_hints(spark, sf_dir):
   select name::bigint as name, ancestor::bigint as ancestor from up""")
 def lineage_transitive(spark, sf_dir):
     e = table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("bigint").alias("child"), F.expr("cast(n_nationkey div 2 as bigint)").alias("parent"))
-    return catalog.ancestors(spark, e)
+    return catalog.ancestors(e)
 
 
 @query("""select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1""")
@@ -210,9 +209,8 @@ def coordinate_bands(spark, sf_dir):
     select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 6 hour then 0 else 1 end as b from events)) group by all""")
 def chunk_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.lag("ts").over(w)
-    merged = reshape.merge_chunks(e, ["user_id"], ["ts", "event_id"], (F.col("ts") - gap) > F.expr("interval 6 hours"))
+    breaks = reshape.breaks_after("ts", "6 hours", ["user_id"], ["ts", "event_id"])
+    merged = reshape.merge_chunks(e, ["user_id"], ["ts", "event_id"], breaks)
     return merged.groupBy("user_id", "table_no").agg(F.count("*").alias("n_chunks"), F.min("event_id").alias("first_id"))
 
 
@@ -229,11 +227,12 @@ def token_overlap(spark, sf_dir):
     return search.token_overlap(d, b, "tokens")
 
 
-@query("""select vec_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as score from embeddings where vec_id != 0 order by score desc, vec_id limit 10""")
+@query("""select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from (
+  select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score
+  from embeddings q join embeddings e on q.vec_id % 100 = 0 and e.vec_id != q.vec_id)) where r <= 10""")
 def vector_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return e.where("vec_id != 0").crossJoin(F.broadcast(one)).select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return search.nearest(e, e.where("id % 100 = 0"), 10)
 
 
 @query("""select conv_id, field_no, list_extract(t, 1) as field, array_to_string(t[2:], chr(10)) as value from (
@@ -269,16 +268,185 @@ def html_text(spark, sf_dir):
 
 @query("""select o_orderpriority as source, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as targets from orders group by 1""")
 def source_to_targets(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), "o_orderstatus").distinct()
-    return o.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("o_orderstatus")), ",").alias("targets"))
+    return catalog.targets_by_source(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
 
 
-@query("""with p as (select page_id, regexp_extract(url, '([^/.]+)[^/]*$', 1) as stem from pages)
-  select a.page_id, a.stem, count(b.page_id) as results from p a left join p b on b.stem = a.stem and b.page_id % 2 = 1 where a.page_id % 2 = 0 group by all""")
+@query("""select page_id, stem, count(*) over (partition by stem) - 1 as results from (select page_id, regexp_extract(url, '([^/.]+)[^/]*$', 1) as stem from pages)""")
 def stem_join(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/.]+)[^/]*$", 1).alias("stem"))
-    results = p.where("page_id % 2 = 1").select("stem", F.col("page_id").alias("result"))
-    return p.where("page_id % 2 = 0").join(results, "stem", "left").groupBy("page_id", "stem").agg(F.count("result").alias("results"))
+    return catalog.same_stem(p, "page_id", "stem")
+
+
+@query("""select conv_id, quantile_cont(length(text), 0.5)::double as median from conversations where trim(text) != '' group by conv_id""")
+def median_non_blank(spark, sf_dir):
+    return layout.median_of(table(spark, sf_dir, "conversations").where("trim(text) != ''"), ["conv_id"], F.length("text"), "median")
+
+
+@query()
+def stronger_header_ahead(spark, sf_dir):
+    return segment.described(_sheet(spark, sf_dir)).select("row_id", "starts")
+
+
+@query()
+def segment_grid(spark, sf_dir):
+    return segment.segment(_sheet(spark, sf_dir))
+
+
+# A catalog of artifacts made of parts: every fourth is a typed view, every fourth a raw table, and so on.
+_KINDS = ("typed_content_view", "view_or_table", "raw_content_table", "internal_catalog")
+
+
+def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*(F.lit(k) for k in _KINDS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select(F.format_string("%s %d", "p_name", "p_partkey").alias("name"), kind.alias("kind"), F.when(kind.contains("view"), "view").otherwise("table").alias("type"), F.array("p_brand", "p_type").alias("columns"), F.array(F.concat(F.lower("p_type"), F.lit(".csv"))).alias("sources"))
+    return p.withColumn("context", catalog.search_text(F.col("name"), F.col("type"), F.col("kind"), F.col("columns"), F.col("sources")))
+
+
+_ARTIFACTS = """(select *, lower(concat_ws(' ', name, type, kind, brand, ptype, source)) as context from (select *, case when kind like '%view%' then 'view' else 'table' end as type, lower(ptype) || '.csv' as source from (
+  select p_name || ' ' || p_partkey as name, (['typed_content_view', 'view_or_table', 'raw_content_table', 'internal_catalog'])[p_partkey % 4 + 1] as kind, p_brand as brand, p_type as ptype from part)))"""
+
+
+def _points(token: str) -> str:
+    return f"case when contains(lower(name), '{token}') then 5 when contains(lower(brand), '{token}') or contains(lower(ptype), '{token}') then 3 when contains(source, '{token}') then 2 when contains(context, '{token}') then 1 else 0 end"
+
+
+@query(f"""select name, kind, (found + case kind when 'typed_content_view' then 3 when 'view_or_table' then 1 when 'raw_content_table' then -2 else -5 end)::bigint as score from (
+  select *, {_points("small")} + {_points("ring")} + {_points("economy")} + {_points("csv")} as found from {_ARTIFACTS}) where found > 0 order by score desc, name limit 25""")
+def suggest_tables(spark, sf_dir):
+    return catalog.suggested(_artifacts(spark, sf_dir), "Show me the small ring by ECONOMY in csv", 25)
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = [("name", F.col("name")), ("type", F.col("type")), ("kind", F.col("kind")), ("column", F.col("columns")[0]), ("column", F.col("columns")[1]), ("source_path", F.col("sources")[0])]
+    made = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(f).alias("field"), v.alias("value")) for i, (f, v) in enumerate(each)))
+    return _artifacts(spark, sf_dir).select(F.col("name").alias("id"), "type", "kind", F.explode(made).alias("f")).select("id", "type", "kind", "f.*")
+
+
+_BEST = f"""(select name as id, 'sqlite_' || type as type, f.field as field, f.value as value, (f.w + case kind when 'typed_content_view' then 5 when 'view_or_table' then 3 when 'raw_content_table' then -2 else -6 end)::bigint as rank from (
+  select *, row_number() over (partition by name order by f.w desc, f.p) as r from (select name, type, kind, unnest([struct_pack(p := 0, field := 'name', value := name, w := 80), struct_pack(p := 1, field := 'type', value := type, w := 20), struct_pack(p := 2, field := 'kind', value := kind, w := 20),
+    struct_pack(p := 3, field := 'column', value := brand, w := 70), struct_pack(p := 4, field := 'column', value := ptype, w := 70), struct_pack(p := 5, field := 'source_path', value := source, w := 75)]) as f from {_ARTIFACTS})
+  where contains(lower(f.value), 'ec')) where r = 1)"""
+
+
+@query(f"select * from {_BEST}")
+def metadata_search(spark, sf_dir):
+    return search.metadata_matches(_fields(spark, sf_dir).withColumn("type", F.concat(F.lit("sqlite_"), "type")), "ec")
+
+
+@query(f"""select id, type, line, rank from (select id, type, null::bigint as line, rank from {_BEST} union all
+  select doc_id::varchar, 'output_file', line_no, 35 from (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as line from documents) where contains(lower(line), 'licensed under'))
+  order by rank desc, case type when 'sqlite_view' then 0 when 'sqlite_table' then 1 else 3 end, id, coalesce(line, 0) limit 1200""")
+def search_rank_topk(spark, sf_dir):
+    """Two scopes in one order: metadata and lines of files."""
+    tables_ = metadata_search(spark, sf_dir).select("id", "type", F.lit(None).cast("bigint").alias("line"), "rank")
+    lines = search_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.lit("output_file").alias("type"), F.col("line_no").alias("line"), F.lit(35).cast("bigint").alias("rank"))
+    return search.ranked(tables_.unionByName(lines), 1200)
+
+
+@query(f"""select name, type, kind from {_ARTIFACTS} where kind != 'internal_catalog' order by type, name limit 100""")
+def list_artifacts(spark, sf_dir):
+    return catalog.listed(_artifacts(spark, sf_dir), most=100).select("name", "type", "kind")
+
+
+@query("""with a as (select n_name as name, n_nationkey % 2 = 0 as held from nation union all select n_name || '_typed', false from nation)
+  select name, case when name = 'NATION_1' then 'internal_catalog' when name in (select n_name from nation where n_nationkey % 2 = 0) then 'raw_content_table' when ends_with(name, '_typed') and replace(name, '_typed', '') in (select n_name from nation where n_nationkey % 2 = 0) then 'typed_content_view' else 'view_or_table' end as kind from a""")
+def classify_artifacts(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    names = n.select(F.col("n_name").alias("name")).unionByName(n.select(F.concat("n_name", F.lit("_typed")).alias("name")))
+    return catalog.classified(names, n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("table_name")), ("NATION_1",))
+
+
+@query("""with held as (select md5(text) as fingerprint, min('old_' || doc_id) as table_name from documents where source = 'src0' group by 1),
+  i as (select 'in/' || doc_id || '.csv' as source_path, md5(text) as fingerprint, 'table_' || doc_id as table_name from documents)
+  select i.source_path, i.fingerprint, coalesce(held.table_name, first_value(i.table_name) over w) as table_name, case when held.table_name is null and row_number() over w = 1 then 'loaded' else 'reused' end as status
+  from i left join held using (fingerprint) window w as (partition by i.fingerprint order by i.source_path, i.table_name)""")
+def load_contents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("fingerprint"))
+    held = d.where("source = 'src0'").select("fingerprint", F.format_string("old_%d", "doc_id").alias("table_name"))
+    return catalog.load_contents(d.select(F.format_string("in/%d.csv", "doc_id").alias("source_path"), "fingerprint", F.format_string("table_%d", "doc_id").alias("table_name")), held)
+
+
+def _nation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.format_string("in/%s.csv", "n_name").alias("source_path"), F.format_string("f%d", F.col("n_nationkey") % 7).alias("fingerprint"), F.format_string("t%d", F.col("n_nationkey") % 7).alias("table_name"))
+
+
+_EDGES = """(select distinct e.from_kind, e.from_id, e.relation, e.to_kind, e.to_id from (select unnest([struct_pack(from_kind := 'file', from_id := 'in/' || n_name || '.csv', relation := 'produced', to_kind := 'content', to_id := 'f' || k), struct_pack(from_kind := 'content', from_id := 'f' || k, relation := 'stored_as', to_kind := 'artifact', to_id := 't' || k),
+  struct_pack(from_kind := 'artifact', from_id := 't' || k, relation := 'typed_as', to_kind := 'artifact', to_id := 't' || k || '_typed'), struct_pack(from_kind := 'artifact', from_id := 't' || k || '_typed', relation := 'typed_from', to_kind := 'artifact', to_id := 't' || k)]) as e from (select *, n_nationkey % 7 as k from nation)))"""
+
+
+@query(f"select * from {_EDGES}")
+def source_lineage(spark, sf_dir):
+    return catalog.source_edges(_nation_sources(spark, sf_dir))
+
+
+@query(f"""select * from {_EDGES} where not (from_kind = 'artifact' and from_id = 'v' and relation = 'depends_on') union all values ('artifact', 'v', 'depends_on', 'artifact', 't2_typed')""")
+def view_lineage(spark, sf_dir):
+    """A saved view that is replaced: its dependencies come from its SQL."""
+    from .plans.guard import referenced_names
+
+    e = source_lineage(spark, sf_dir)
+    old = catalog.replaced_edges(e, "v", spark.createDataFrame([("t1",), ("t5",)], "name string"))
+    names = referenced_names(spark, "with t1 as (select 1 as x) select x from t2_typed, (select 't5' as x)", [f"t{i}{x}" for i in range(7) for x in ("", "_typed")])
+    return catalog.replaced_edges(old, "v", spark.createDataFrame([(n,) for n in names], "name string"))
+
+
+@query(f"""select * from {_EDGES} where (from_kind = 'artifact' and from_id = 't3') or (to_kind = 'artifact' and to_id = 't3')""")
+def relationship_metadata(spark, sf_dir):
+    return catalog.touching(source_lineage(spark, sf_dir), spark.createDataFrame([("artifact", "t3")], "kind string, id string"))
+
+
+@query(f"""select * from {_EDGES} where not (from_kind = 'content' and from_id in ('f1', 'f2')) and not (to_kind = 'content' and to_id in ('f1', 'f2'))""")
+def stale_lineage_deleted(spark, sf_dir):
+    return catalog.without(source_lineage(spark, sf_dir), spark.createDataFrame([("content", "f1"), ("content", "f2")], "kind string, id string"))
+
+
+@query("""select distinct md5(text) as fingerprint from documents where md5(text) not in (select md5(text) from documents where source in ('src0', 'src1'))""")
+def unreferenced_content(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", F.md5("text").alias("fingerprint"))
+    return catalog.unreferenced(d.select("fingerprint").distinct(), d.where("source in ('src0', 'src1')").select("fingerprint"))
+
+
+@query("""select page_id, case when trim(url) = 'http://ththre.example.com/fr/825?page=2&ref=x' then 'exact' when ends_with(url, 'fr/825?page=2&ref=x') then 'suffix' when split_part(rtrim(url, '/'), '/', -1) = '825?page=2&ref=x' then 'filename' end as reason
+  from pages""")
+def path_match_reason(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    exact = catalog.path_match(F.col("url"), F.lit("http://ththre.example.com/fr/825?page=2&ref=x"))
+    part = catalog.path_match(F.col("url"), F.lit("fr/825?page=2&ref=x"))
+    return p.select("page_id", F.when(exact == "exact", exact).otherwise(part).alias("reason"))
+
+
+@query("""with q as (select item_id as query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) >= 2)) as q from benchmark),
+  d as (select doc_id as id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) >= 2)) as d from documents)
+  select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from (select query_id, id, len(list_intersect(q, d))::double / len(q) as score from q, d where len(q) > 0) where score >= 0.8 - 1e-12) where r <= 5""")
+def skill_search_lexical(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), cells.search_tokens(F.col("text")).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), cells.search_tokens(F.col("text")).alias("tokens"))
+    return search.lexical_matches(q, d, 0.8, 5)
+
+
+@query("""with c as (select conv_id, turn, case when role = 'assistant' then [text, '', ''] when turn % 3 = 0 then ['', role, text, 'more', ''] else [role, text] end as cells from conversations),
+  f as (select conv_id, turn, case when len(cells) > 3 then [cells[1], cells[2], cells[3] || ' more'] when len(cells) < 3 then [cells[1], cells[2], ''] else cells end as cells from c),
+  m as (select *, len(list_filter(cells, lambda x: x != '')) as n, row_number() over (partition by conv_id order by turn) as k from f where len(list_filter(cells, lambda x: x != '')) > 0),
+  g as (select *, sum((not (n = 1 and cells[1] != '') or k = 1)::int) over (partition by conv_id order by turn rows unbounded preceding) as island from m)
+  select conv_id, min(turn) as turn, string_agg(cells[1], ' ' order by turn) as a, arg_min(cells[2], turn) as b, arg_min(cells[3], turn) as c from g group by conv_id, island""")
+def forced_records(spark, sf_dir):
+    """Assistants' turns are rows with a first cell only, every third other turn has too many cells, and the others too few."""
+    c = table(spark, sf_dir, "conversations")
+    made = F.when(F.col("role") == "assistant", F.array("text", F.lit(""), F.lit(""))).when(F.col("turn") % 3 == 0, F.array(F.lit(""), F.col("role"), F.col("text"), F.lit("more"), F.lit(""))).otherwise(F.array("role", "text"))
+    got = reshape.forced_records(c.withColumn("cells", made), ["conv_id"], "turn", "cells", ["kind", "who", "what"])
+    return got.select("conv_id", "turn", *(F.col("cells")[i].alias(x) for i, x in enumerate("abc")))
+
+
+@query("""with a as (select conv_id, turn, turn - 1.0 as low, coalesce(lead(turn) over (partition by conv_id order by turn) - 1.0, 'infinity'::double) as high from conversations where role = 'user')
+  select a.conv_id, a.turn, md5(string_agg(c.text, ' ' order by c.turn)) as text_md5 from a join conversations c on c.conv_id = a.conv_id and c.turn >= low and c.turn < high where c.text != '' group by all""")
+def anchored_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("double").alias("turn"), F.when(F.col("role") == "user", "user").alias("anchor"), "text")
+    return reshape.anchored_rows(c, ["conv_id"], "turn", ["anchor"], "text", 1.0).select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.md5("text").alias("text_md5"))
+
+
+@query("""select conv_id, turn from conversations where not (role in ('system') or text in ('system') or starts_with(role, 'assis') or starts_with(text, 'assis'))""")
+def skip_filters(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(~reshape.skipped(F.array("role", "text"), ["system"], ["assis"])).select("conv_id", "turn")
 
 
 def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
@@ -304,6 +472,24 @@ _sql("sql_strings", "select n_nationkey, upper(substr(n_name, 1, 3)) || '-' || c
 _sql("sql_recursive", "with recursive t(n) as (select 1 union all select n + 1 from t where n < 50) select cast(n as bigint) as n, cast(n * n as bigint) as square from t", "region")
 
 
+_sql("sql_using", "select n_name, r_name from nation join (select r_regionkey as n_regionkey, r_name from region) r using (n_regionkey)", "nation region")
+_sql("sql_natural", "select n_name, r_name from nation natural join (select r_regionkey as n_regionkey, r_name from region) r", "nation region")
+_sql("sql_outer", "select coalesce(c_custkey, -1) as c, coalesce(s_suppkey, -1) as s from (select * from customer where c_custkey < 40) full outer join (select * from supplier where s_suppkey between 20 and 60) on c_custkey = s_suppkey", "customer supplier")
+_sql("sql_total", "select n_regionkey, coalesce(sum(cast(case when n_nationkey > 20 then n_nationkey end as double)), 0.0) as total from nation group by n_regionkey", "nation")
+_sql("sql_group_concat", "select n_regionkey, listagg(n_name, ', ') within group (order by n_name) as names from nation group by n_regionkey", "nation", "select n_regionkey, string_agg(n_name, ', ' order by n_name) as names from nation group by n_regionkey")
+_sql("sql_values", "select v.k, v.label, n_name from (values (1, 'one'), (2, 'two')) as v(k, label) join nation on n_nationkey = v.k", "nation")
+_sql("sql_order_nulls", "select user_id, v from (select user_id, nullif(max(case when event_type = 'error' then value end), 0) as v from events group by user_id) order by v desc nulls last, user_id limit 20 offset 5", "events")
+_sql("sql_math", "select event_id, abs(value - 50) as a, floor(value) as f, ceil(value) as c, sqrt(value) as s, cast(event_id % 7 as bigint) as m, sign(value - 50) as g, cast(power(event_id % 10, 2) as bigint) as p, cast(event_id div 3 as bigint) as d from events", "events", "select event_id, abs(value - 50) as a, floor(value) as f, ceil(value) as c, sqrt(value) as s, event_id % 7 as m, sign(value - 50)::double as g, power(event_id % 10, 2)::bigint as p, event_id // 3 as d from events")
+_sql("sql_window_functions", "select o_orderkey, cast(rank() over w as bigint) as r, cast(dense_rank() over w as bigint) as d, percent_rank() over w as p, cume_dist() over w as c, cast(ntile(4) over w2 as bigint) as q, first_value(o_orderkey) over w2 as f, nth_value(o_orderkey, 2) over w2 as n, lead(o_orderkey, 1, -1) over w2 as l from orders window w as (partition by o_custkey order by o_orderpriority), w2 as (partition by o_custkey order by o_orderkey)", "orders")
+_sql("sql_frames", "select user_id, event_id, count(*) over (partition by user_id order by event_id range between 500 preceding and 100 following) as near, sum(event_id) over (partition by user_id order by event_id rows between 2 preceding and current row) as s from events", "events")
+_sql("sql_frame_groups", "select event_id, sum(n) over (partition by event_type order by g range between 1 preceding and current row) as s from (select event_id, event_type, dense_rank() over (partition by event_type order by user_id) as g, 1 as n from events)", "events", "select event_id, count(*) over (partition by event_type order by user_id groups between 1 preceding and current row) as s from events")
+_sql("sql_set_ops_all", "select n_nationkey as k from nation intersect select n_regionkey from nation union all select r_regionkey from region", "nation region")
+_sql("sql_strings_more", "select n_nationkey, ltrim('N', n_name) as l, lpad(n_name, 12, '*') as p, instr(n_name, 'ION') as i, reverse(n_name) as r, repeat('ab', n_regionkey) as t, concat_ws('-', n_name, cast(n_regionkey as string)) as c, hex(n_name) as h, n_name like 'NATION\\\\_1%' as k from nation", "nation", "select n_nationkey, ltrim(n_name, 'N') as l, lpad(n_name, 12, '*') as p, instr(n_name, 'ION')::int as i, reverse(n_name) as r, repeat('ab', n_regionkey) as t, concat_ws('-', n_name, n_regionkey::varchar) as c, hex(n_name) as h, n_name like 'NATION\\_1%' escape '\\' as k from nation")
+_sql("sql_dates_more", "select event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') as t, date_format(date_trunc('month', ts), 'yyyy-MM-dd') as m, unix_timestamp(ts) as u, date_format(ts + interval 36 hours, 'yyyy-MM-dd') as later, datediff(date '2025-01-01', cast(ts as date)) as days from events", "events", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as t, strftime(date_trunc('month', ts), '%Y-%m-%d') as m, floor(epoch(ts))::bigint as u, strftime(ts + interval 36 hour, '%Y-%m-%d') as later, datediff('day', ts::date, date '2025-01-01')::int as days from events")
+_sql("sql_json_more", "select event_id, to_json(named_struct('k', get_json_object(props, '$.k'), 'e', event_type)) as j, json_array_length(concat('[', get_json_object(props, '$.k'), ',1]')) as n from events", "events", "select event_id, '{\"k\":\"' || (props->>'$.k') || '\",\"e\":\"' || event_type || '\"}' as j, json_array_length('[' || (props->>'$.k') || ',1]')::int as n from events")
+_sql("sql_case", "select p_partkey, case when p_size < 10 then 's' when p_size < 30 then 'm' else 'l' end as size, nullif(p_brand, 'Brand#1') as brand, if(p_retailprice > 1000, 1, 0) as dear, cast(p_retailprice as int) as price from part where p_retailprice = floor(p_retailprice)", "part", "select p_partkey, case when p_size < 10 then 's' when p_size < 30 then 'm' else 'l' end as size, nullif(p_brand, 'Brand#1') as brand, if(p_retailprice > 1000, 1, 0) as dear, p_retailprice::int as price from part where p_retailprice = floor(p_retailprice)")
+
+
 @query("""select c_mktsegment, count(*) as orders, sum(o_totalprice::decimal(18,2)::double) as revenue from orders join customer on o_custkey = c_custkey group by c_mktsegment""")
 def typed_revenue(spark, sf_dir):
     """The flagship: text tables, inferred types, typed views, then guarded SQL over them."""

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,6 +25,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the session's checkpoint folder; only a local session may do without a named one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sheetweave-"))
+    return df.checkpoint()
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session as the tests and the benchmark use it."""
     settings = {

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetweave.functions import cells
-from sheetweave.operators import layout, search, typing
-from sheetweave.plans.guard import NotReadOnly, check_read_only, result_names, run_query
+from sheetweave.operators import catalog, layout, reshape, search, typing
+from sheetweave.plans.guard import NotReadOnly, check_read_only, referenced_names, result_names, run_query
 from sheetweave.sources import grid
 
 
@@ -106,3 +106,86 @@ def test_smart_case(spark):
 def test_clean_cell(spark):
     got = spark.createDataFrame([("a  b- c \n d",)], "s string").select(cells.clean_cell(F.col("s"))).first()[0]
     assert got == "a b-c d"
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "execute immediate 'create table x (a int)'", "begin drop table t; end", "call p()", "analyze table t compute statistics", "msck repair table t", "comment on table t is 'x'", "uncache table t", "show tables", "set a = 1", "use x", "refresh table t", "describe t",
+        "select java_method('java.lang.System', 'exit', 0)", "select reflect('java.lang.System', 'exit', 0)", "select 1 + length(try_reflect('java.lang.System', 'x'))", "select * from a where exists (select reflect('x', 'y') from b)", "with t as (select java_method('x', 'y')) select * from t",
+        "select * from (select transform(a) using 'cat' as (b) from t)", "explain drop table t", "insert into t select 1", "create table t as select 1", "with a as (select 1) insert into t select * from a", "select 1; select 2", "", "truncate table t", "cache table t",
+    ],
+)
+def test_guard_refuses(spark, sql):
+    with pytest.raises(NotReadOnly):
+        check_read_only(spark, sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select a, count(*) from t join u using (k) where b in (select c from v) group by a having count(*) > 1 order by a limit 3 offset 1;", "with recursive t(n) as (select 1 union all select n + 1 from t where n < 5) select * from t", "values (1, 2), (3, 4)", "explain select 1",
+        "select row_number() over w from t window w as (partition by a order by b)", "select * from t lateral view explode(x) e as y", "select * from range(3)", "select * from t pivot (sum(a) for b in (1, 2))", "select a from t intersect select b from u except select c from v", "select * from t, lateral (select * from u where u.a = t.a)", "select * from t unpivot (v for k in (a, b))",
+    ],
+)
+def test_guard_allows(spark, sql):
+    assert not check_read_only(spark, sql).endswith(";")
+
+
+def test_guard_of_outside_queries(spark):
+    with pytest.raises(NotReadOnly):
+        check_read_only(spark, "select * from (select 1) a join _tabular_sources b", private=False)
+    with pytest.raises(NotReadOnly):
+        check_read_only(spark, "explain select 1", explain=False)
+    assert referenced_names(spark, "with c as (select * from A where x in (select y from `b`)) select 'd' from c", ["a", "b", "c2", "d"]) == ["a", "b"]
+
+
+def test_ancestors_of_long_chains_diamonds_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(60)]
+    diamonds = [(1000 + 2 * i, 1000 + 2 * i + j) for i in range(40) for j in (1, 2)] + [(1001 + 2 * i, 1002 + 2 * i) for i in range(40)]
+    got = {tuple(r) for r in catalog.ancestors(spark.createDataFrame(chain + diamonds + [(900, 901), (901, 900), (None, 5)], "child long, parent long")).collect()}
+    assert {x for x in got if x[0] < 100} == {(i, j) for i in range(61) for j in range(i + 1, 61)}
+    assert {x for x in got if 900 <= x[0] < 1000} == {(900, 901), (901, 900), (900, 900), (901, 901)}
+    assert (1000, 1080) in got and len({x for x in got if x[0] == 1000}) == 80
+
+
+def test_regions_follow_plain_flooding():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        mask = r.random((r.integers(1, 14), r.integers(1, 14))) < 0.55
+        seen, want = np.zeros_like(mask), []
+        for start in zip(*np.nonzero(mask), strict=True):
+            todo, cells_ = [start], []
+            while todo:
+                i, j = todo.pop()
+                if 0 <= i < mask.shape[0] and 0 <= j < mask.shape[1] and mask[i, j] and not seen[i, j]:
+                    seen[i, j] = True
+                    cells_.append((i, j))
+                    todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+            if cells_:
+                a, b = zip(*cells_, strict=True)
+                want.append((min(a), max(a), min(b), max(b)))
+        assert layout.boxes(mask) == sorted(want)
+        rim, grown = np.pad(~mask, 1, constant_values=True), None
+        outside = np.zeros_like(rim)
+        outside[0, 0] = True
+        while grown is None or (grown != outside).any():
+            grown = outside.copy()
+            for a, b in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+                outside[a] |= grown[b] & rim[a]
+                outside[:, a] |= grown[:, b] & rim[:, a]
+        assert (layout.fill_holes(mask) == ~outside[1:-1, 1:-1]).all()
+
+
+def test_large_regions_take_time_in_proportion():
+    mask = np.zeros((100_000, 8), bool)
+    mask[:, 1:6] = True
+    assert layout.boxes(layout.fill_holes(mask)) == [(0, 99_999, 1, 5)]
+
+
+def test_many_bands_are_joined_by_strips(spark, monkeypatch):
+    bands = spark.createDataFrame([(i, i * 3.0, i * 3.0 + 5) for i in range(30)], "name int, low double, high double")
+    words = spark.createDataFrame([(x / 2,) for x in range(200)], "x double")
+    near = {tuple(r) for r in reshape.place_in_bands(words, bands, "x").select("x", "name").collect()}
+    monkeypatch.setattr(reshape, "BANDS", 3)
+    assert {tuple(r) for r in reshape.place_in_bands(words, bands, "x", 4.0).select("x", "name").collect()} == near
