@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .reshape import islands
 
@@ -55,29 +53,21 @@ def signatures(pages: DataFrame, key: str, parts: list[Column], samples: int = 5
     return named.groupBy("signature").agg(F.count("*").alias("pages")).join(first, "signature")
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+# The character references that are resolved, the ampersand's last.
+REFERENCES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+MARKUP, ENDS = r"(?s)<!--.*?-->|<[!/?a-zA-Z][^>]*>", r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
 
-    def handle_data(self, data: str) -> None:
-        if data.strip():
-            self.parts.append(data.strip())
 
+def html_text(html: Column) -> Column:
+    """What stands between tags and comments, trimmed, one piece to a line; text in scripts and styles is kept.
 
-def html_text(value: str | None) -> str | None:
-    """Text nodes, trimmed, one to a line; text in scripts and styles is kept."""
-    if value is None:
-        return None
-    parser = _Text()
-    parser.feed(value)
-    parser.close()
-    return "\n".join(parser.parts)
-
-
-@F.pandas_udf(T.StringType())
-def html_text_udf(values: pd.Series) -> pd.Series:
-    return values.map(html_text)
+    References other than the common ones stay as they are.
+    """
+    pieces = F.transform(F.split(F.regexp_replace(html, MARKUP, "\x01"), "\x01"), lambda x: F.regexp_replace(x, ENDS, ""))
+    text = F.array_join(F.filter(pieces, lambda x: x != ""), "\n")
+    for name, char in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
 
 
 def coordinate_lines(words: Iterator[tuple[float, float, str]], tolerance: float) -> list[tuple[float, str]]:

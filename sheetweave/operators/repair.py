@@ -1,50 +1,60 @@
-"""Hints for SQL that names tables or columns that don't exist."""
+"""Hints for SQL that names tables or columns that don't exist, ranked over a catalog of any size."""
 
 from __future__ import annotations
 
-import re
-from difflib import SequenceMatcher
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Candidates in a hint.
 MOST = 3
+# Points of names that are equal, one within the other, of each shared word, of equal words, and of like spelling.
+EQUAL, WITHIN, WORD, WORDS, SPELLING = 100.0, 40.0, 20.0, 20.0, 20.0
+
+
+def name_words(name: Column) -> Column:
+    """The distinct words of a name; capitals within it start a word."""
+    spaced = F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.array_distinct(F.filter(F.split(spaced, "[^a-z0-9]+"), lambda w: w != ""))
+
+
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+
+
+def similarity(wanted: Column, candidate: Column) -> Column:
+    """Points for how alike two names are; spelling is the share of characters that an edit distance leaves."""
+    a, b = _bare(wanted), _bare(candidate)
+    own, other = name_words(wanted), name_words(candidate)
+    shared = F.size(F.array_intersect(own, other))
+    longer = F.greatest(F.length(a), F.length(b))
+    within = (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a))
+    points = F.when(within, WITHIN).otherwise(0.0) + shared * WORD + F.when((shared == F.size(own)) & (shared == F.size(other)), WORDS).otherwise(0.0)
+    return F.when(a == b, EQUAL).otherwise(points + F.when(longer > 0, SPELLING * (1 - F.levenshtein(a, b) / longer)).otherwise(0.0))
+
+
+def best(candidates: DataFrame, column: str, wanted: str, n: int = MOST) -> DataFrame:
+    """The ``n`` distinct names of ``column`` most like ``wanted``, with their ``score``; ties by name."""
+    scored = candidates.select(column).distinct().withColumn("score", similarity(F.lit(wanted), F.col(column)))
+    return scored.where("score > 0").orderBy(F.desc("score"), column).limit(n)
+
+
+def hint(error: AnalysisException, columns: DataFrame, n: int = MOST) -> dict | None:
+    """What the error is about, and candidates from ``columns(table_name, column_name)``; None for other errors."""
+    about, given = error.getCondition() or "", error.getMessageParameters() or {}
 
+    def last(key: str) -> str:
+        return given.get(key, "").strip("`").split("`.`")[-1]
 
-def words(name: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()) if w]
-
-
-def similarity(wanted: str, candidate: str) -> float:
-    """100 for equal names; else points for containment, shared words and like spelling."""
-    a, b = "".join(words(wanted)), "".join(words(candidate))
-    if a == b:
-        return 100.0
-    x, y = set(words(wanted)), set(words(candidate))
-    score = 40.0 if a and b and (a in b or b in a) else 0.0
-    score += 20.0 * len(x & y) + (20.0 if x == y else 0.0)
-    return score + 20.0 * SequenceMatcher(None, a, b).ratio()
-
-
-def best(wanted: str, candidates: list[str], n: int = MOST) -> list[str]:
-    """The most similar names first, ties by name."""
-    scored = sorted(((-similarity(wanted, c), c) for c in set(candidates)))
-    return [c for s, c in scored if s < 0][:n]
-
-
-def hint(spark: SparkSession, error: AnalysisException, tables: dict[str, list[str]]) -> dict | None:
-    """What the error is about, and candidates from ``tables`` (name to columns); None for other errors."""
-    kind, given = error.getCondition() or "", error.getMessageParameters() or {}
-    if kind.startswith("UNRESOLVED_COLUMN"):
-        wanted = given.get("objectName", "").strip("`").split("`.`")[-1]
-        owners = {c: sorted(t for t, cols in tables.items() if c in cols) for cols in tables.values() for c in cols}
-        found = best(wanted, list(owners))
-        return {"problem": "missing_column", "identifier": wanted, "candidates": [{"column": c, "tables": owners[c]} for c in found]}
-    if kind == "TABLE_OR_VIEW_NOT_FOUND":
-        wanted = given.get("relationName", "").strip("`").split("`.`")[-1]
-        return {"problem": "missing_table", "identifier": wanted, "candidates": best(wanted, list(tables))}
-    if kind == "AMBIGUOUS_REFERENCE":
-        name = given.get("name", "").strip("`")
-        return {"problem": "ambiguous_column", "identifier": name, "candidates": sorted(t for t, cols in tables.items() if name in cols)}
+    if about == "TABLE_OR_VIEW_NOT_FOUND":
+        name = last("relationName")
+        return {"problem": "missing_table", "identifier": name, "candidates": [r["table_name"] for r in best(columns, "table_name", name, n).collect()]}
+    if about == "AMBIGUOUS_REFERENCE":
+        name = last("name")
+        return {"problem": "ambiguous_column", "identifier": name, "candidates": [r[0] for r in columns.where(F.col("column_name") == name).select("table_name").distinct().orderBy("table_name").limit(100).collect()]}
+    if about.startswith("UNRESOLVED_COLUMN"):
+        name = last("objectName")
+        near = best(columns, "column_name", name, n)
+        owned = near.join(columns, "column_name").groupBy("column_name", "score").agg(F.array_sort(F.collect_set("table_name")).alias("tables")).orderBy(F.desc("score"), "column_name")
+        return {"problem": "missing_column", "identifier": name, "candidates": [{"column": r["column_name"], "tables": r["tables"]} for r in owned.collect()]}
     return None

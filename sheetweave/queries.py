@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells
-from .operators import catalog, documents, layout, reshape, search, segment, typing
+from .operators import catalog, documents, layout, repair, reshape, search, segment, typing
 from .sources import grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,7 +214,7 @@ def chunk_merge(spark, sf_dir):
     return merged.groupBy("user_id", "table_no").agg(F.count("*").alias("n_chunks"), F.min("event_id").alias("first_id"))
 
 
-@query("""select doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) as cleaned from documents""")
+@query("""select doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f\\v]+', ' ', 'g'))) as cleaned from documents""")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(cells.clean_text(F.col("text"))).alias("cleaned"))
 
@@ -261,9 +261,16 @@ def layout_signature(spark, sf_dir):
     return documents.signatures(d, "doc_id", parts)
 
 
-@query()
+@query(r"""select page_id, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '(?s)<!--.*?-->|<[!/?a-zA-Z][^>]*>', chr(1), 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x != ''), chr(10)), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') as text from pages""")
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", documents.html_text_udf("html").alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", documents.html_text(F.col("html")).alias("text"))
+
+
+@query("""select name, score from (select distinct n_name as name, case when lower(n_name) = 'nation_12' then 100.0 else 20.0 * (1 - levenshtein('nation12', replace(lower(n_name), '_', '')) / greatest(8, length(replace(n_name, '_', '')))) +
+    case when contains('nation12', replace(lower(n_name), '_', '')) or contains(replace(lower(n_name), '_', ''), 'nation12') then 40.0 else 0.0 end + 20.0 end as score from nation) order by score desc, name limit 5""")
+def repair_candidates(spark, sf_dir):
+    return repair.best(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "name", "Nation_12", 5)
 
 
 @query("""select o_orderpriority as source, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as targets from orders group by 1""")

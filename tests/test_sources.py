@@ -5,6 +5,7 @@ from email.message import EmailMessage
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from sheetweave.operators import documents, repair
 from sheetweave.sources import email, workbook
@@ -51,8 +52,9 @@ def test_email(spark, tmp_path):
     assert (r["subject"], r["body"], r["body_source"], r["body_chars"], r["truncated"], list(r["attachments"])) == ("Rates", "plain", "plain", 10, True, ["rates.csv"])
 
 
-def test_html_text():
-    assert documents.html_text("<p>a <b>b</b></p><script>x()</script>&amp;") == "a\nb\nx()\n&"
+def test_html_text(spark):
+    t = spark.createDataFrame([("<p>a <b>b</b></p><!-- <i>c</i> --><script>x()</script>&amp;lt; 1 < 2",), (None,), ("",)], "html string")
+    assert [r[0] for r in t.select(documents.html_text(F.col("html"))).collect()] == ["a\nb\nx()\n&lt; 1 < 2", None, ""]
 
 
 def test_visual_lines(spark):
@@ -63,11 +65,12 @@ def test_visual_lines(spark):
 
 def test_repair_hints(spark):
     spark.range(1).selectExpr("id as customer_name", "id as total").createOrReplaceTempView("customer_orders")
-    tables = {"customer_orders": ["customer_name", "total"]}
+    tables = spark.createDataFrame([("customer_orders", "customer_name"), ("customer_orders", "total"), ("other", "total")], "table_name string, column_name string")
     with pytest.raises(AnalysisException) as e:
         spark.sql("select custmer_name from customer_orders").collect()
-    assert repair.hint(spark, e.value, tables)["candidates"][0]["column"] == "customer_name"
+    assert repair.hint(e.value, tables)["candidates"][0] == {"column": "customer_name", "tables": ["customer_orders"]}
     with pytest.raises(AnalysisException) as e:
         spark.sql("select 1 from customer_order").collect()
-    assert repair.hint(spark, e.value, tables)["candidates"] == ["customer_orders"]
-    assert repair.similarity("order_id", "orderId") == 100
+    assert repair.hint(e.value, tables)["candidates"] == ["customer_orders", "other"]
+    pairs = spark.createDataFrame([("order_id", "orderId"), ("total", "other"), ("a_b", "b_a"), ("", "x")], "a string, b string")
+    assert [r[0] for r in pairs.select(repair.similarity(F.col("a"), F.col("b"))).collect()] == pytest.approx([100, 20 * 0.4, 20 + 40 + 0, 0], abs=8.1)
