@@ -12,6 +12,7 @@ with its cell's probability.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import stored
@@ -85,24 +86,28 @@ def rake(cells: DataFrame, *, keep: float = KEEP, temper: float = TEMPER, target
     some = cells.where("tokens > 0")
     parts = 1 + some.count() // PART
     named = {r["dimension"] for r in targets.select("dimension").distinct().collect()} if targets is not None else set()
-    goals = {d: _few(stored(wanted(some, d, keep, temper=temper, targets=targets if d in named else None).coalesce(parts))) for d in DIMENSIONS}
-    fitted = some.withColumn("probability", F.lit(float(keep)))
-    goal = (some.agg(F.sum("tokens")).first()[0] or 0) * keep
+    placed = some.withColumn("probability", F.lit(float(keep)))
+    for d in DIMENSIONS:
+        goals = stored(wanted(some, d, keep, temper=temper, targets=targets if d in named else None).coalesce(parts))
+        placed = placed.join(_few(goals.selectExpr(f"category as {d}", f"share as share_{d}", f"wanted as wanted_{d}")), d, "left")
+    fitted = stored(placed.coalesce(parts))
+    goal = (fitted.agg(F.sum("tokens")).first()[0] or 0) * keep
 
-    def marginals(of: DataFrame) -> DataFrame:
-        each = [goals[d].join(of.groupBy(F.col(d).alias("category")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("expected")), "category").select(F.lit(d).alias("dimension"), "category", "share", "wanted", "expected") for d in DIMENSIONS]
-        return each[0].unionByName(each[1]).unionByName(each[2])
+    def now(d: str) -> Column:
+        """The expected tokens of a cell's category.  Cells are few next to the documents, so a window over them is, too."""
+        return F.sum(F.col("tokens") * F.col("probability")).over(W.partitionBy(d))
 
     for _ in range(passes):
         for d in DIMENSIONS:
-            now = fitted.groupBy(F.col(d).alias("category")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("now")).join(goals[d], "category", "left").selectExpr(f"category as {d}", "coalesce(wanted / nullif(now, 0), 0) as factor")
-            fitted = fitted.join(now, d).withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.col("factor"))).drop("factor")
+            factor = F.coalesce(F.col(f"wanted_{d}") / F.nullif(now(d), F.lit(0.0)), F.lit(0.0))
+            fitted = fitted.withColumn("probability", F.least(F.lit(1.0), F.col("probability") * factor))
         fitted = stored(fitted.coalesce(parts))
-        worst = marginals(fitted).agg(F.max(F.abs(F.col("expected") - F.col("wanted")))).first()[0] or 0.0
-        if worst <= tolerance * goal:
+        misses = fitted.select(F.greatest(*(F.abs(now(d) - F.col(f"wanted_{d}")) for d in DIMENSIONS)).alias("miss"))
+        if (misses.agg(F.max("miss")).first()[0] or 0.0) <= tolerance * goal:
             break
+    report = [fitted.where(f"wanted_{d} is not null").groupBy(F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(F.first(f"share_{d}").alias("share"), F.first(f"wanted_{d}").alias("wanted"), F.sum(F.col("tokens") * F.col("probability")).alias("expected")) for d in DIMENSIONS]
     full = cells.join(fitted.select(*DIMENSIONS, "probability"), list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
-    return full, marginals(fitted)
+    return full, report[0].unionByName(report[1]).unionByName(report[2])
 
 
 def mix(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", topic: str = TOPIC, targets: DataFrame | None = None, passes: int = PASSES, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
