@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells
-from .operators import catalog, documents, layout, repair, reshape, search, segment, typing
+from .operators import catalog, documents, inspection, layout, repair, reshape, search, segment, typing
 from .sources import grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,6 +456,122 @@ def skip_filters(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(~reshape.skipped(F.array("role", "text"), ["system"], ["assis"])).select("conv_id", "turn")
 
 
+_ITEMS = """(select l_orderkey as page, case l_linenumber % 4 when 0 then 're' when 1 then 'c' else 'l' end as kind, l_quantity * 10 as x0, l_quantity * 10 + (l_linenumber % 2) * 50 as x1, (l_suppkey % 700)::double as y0, (l_suppkey % 700 + l_partkey % 3)::double as y1 from lineitem)"""
+
+
+@query(f"""select page, sum(case when kind = 're' then 2 when h then 1 else 0 end)::bigint as horizontal, sum(case when kind = 're' then 2 when v then 1 else 0 end)::bigint as vertical, count(*) filter (where kind != 're' and not h and not v) as other,
+    coalesce(nullif(array_to_string(list_transform(list_sort(list_distinct(flatten(list(case when h then [least(2, trunc((y0 + y1) / 2 / 800 * 3))] when kind = 're' then [least(2, trunc(y0 / 800 * 3)), least(2, trunc(y1 / 800 * 3))] else [] end)))), lambda i: 'tmb'[i::int + 1]), ''), ''), 'none') as y_bands,
+    coalesce(nullif(array_to_string(list_transform(list_sort(list_distinct(flatten(list(case when v then [least(2, trunc((x0 + x1) / 2 / 600 * 3))] when kind = 're' then [least(2, trunc(x0 / 600 * 3)), least(2, trunc(x1 / 600 * 3))] else [] end)))), lambda i: 'lcr'[i::int + 1]), ''), ''), 'none') as x_bands
+  from (select *, kind = 'l' and abs(y0 - y1) <= 1.5 and abs(x0 - x1) > 1.5 as h, kind = 'l' and abs(x0 - x1) <= 1.5 and abs(y0 - y1) > 1.5 as v from {_ITEMS}) group by page""")
+def rule_profile(spark, sf_dir):
+    n, s = F.col("l_linenumber"), F.col("l_suppkey") % 700
+    kind = F.when(n % 4 == 0, "re").when(n % 4 == 1, "c").otherwise("l")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), kind.alias("kind"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + n % 2 * 50).alias("x1"), s.cast("double").alias("y0"), (s + F.col("l_partkey") % 3).cast("double").alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return inspection.rule_profile(items, ["page"])
+
+
+@query("""with m as (select l_suppkey as page, list_sort(list(l_quantity)) as s from lineitem group by 1)
+  select page, len(s) as spans, s[-1] as max_size, s[len(s) // 2 + 1] as median_size, len(list_filter(s, lambda x: x >= s[len(s) // 2 + 1] * 1.6 and x >= 16)) as large_spans from m""")
+def font_profile(spark, sf_dir):
+    return inspection.font_profile(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), "l_quantity"), ["page"], "l_quantity")
+
+
+@query("""select event_id, array_to_string(list_filter([case when event_id % 5 = 0 then 'no_extractable_text' end, case when user_id % 7 >= 3 and event_id % 6 >= 3 then 'visible_rule_grid' end, case when value > 80 then 'large_text_regions' end], lambda x: x is not null), ',') as hints from events""")
+def page_hints(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.array_join(inspection.page_hints(F.col("event_id") % 5, F.col("user_id") % 7, F.col("event_id") % 6, F.when(F.col("value") > 80, 1).otherwise(0)), ",").alias("hints"))
+
+
+# Conversations as detected tables: a turn is a row of one to four words, some blank; the header is one of three.
+_DETECTED = """(select conv_id, turn, case when conv_id % 5 = 0 then [role, left(text, 9)] else list_transform(range(1, (1 + turn % 4)::bigint + 1), lambda i: case when (i + turn) % 3 = 0 then '' else coalesce(string_split(text, ' ')[i], '') end) end as c,
+  case conv_id % 3 when 0 then []::varchar[] when 1 then ['Name', 'Amount'] else ['ab', 'Id', '', 'xy'] end as h from conversations)"""
+
+
+@query(f"""with r as (select *, row_number() over (partition by conv_id order by turn) = 1 as first from {_DETECTED}),
+  d as (select *, not (first and len(h) > 0 and c[:len(h)] = h) as data from r),
+  g as (select conv_id, count(*) as n, max(len(c)) as w, sum(len(list_filter(c, lambda x: x != ''))) as filled, max(len(list_filter(c, lambda x: x != ''))) filter (where first) as ff, any_value(h) filter (where first) as h,
+    any_value(case when len(h) > 0 then h else c end) filter (where first) as heads, coalesce(bool_and(len(c) >= 2) filter (where data), true) as pairs, count(*) filter (where data and len(c) >= 2 and c[1] != '' and c[2] != '') as fields from d group by conv_id),
+  s as (select *, len(list_filter(heads, lambda x: x != '' and length(x) <= 3 and lower(x) not in ('id', 'ip', 'no', 'qty', 'key'))) as short from g),
+  p as (select *, n >= 2 and w >= 2 and ff >= 2 and short < greatest(2, len(heads) // 2) as plausible from s)
+  select conv_id, case when plausible then 'plausible' else 'suspicious' end as quality, array_to_string(list_filter([case when n < 2 then 'too_few_rows' end, case when w < 2 then 'too_few_columns' end, case when short > 0 then 'short_header_fragments' end, case when filled < n * greatest(w, 1) * 0.25 then 'sparse_cells' end], lambda x: x is not null), ',') as warnings,
+    case when filled = 0 or w <= 1 then 'false_positive' when len(h) > 0 and not list_contains(h, '') and plausible then 'grid_table' when w = 2 and pairs and fields > 0 then 'field_value_table' else 'uncertain' end as kind from p""")
+def judged_tables(spark, sf_dir):
+    words = F.transform(F.sequence(F.lit(1), (1 + F.col("turn") % 4).cast("int")), lambda i: F.when((i + F.col("turn")) % 3 == 0, "").otherwise(F.coalesce(F.get(F.split("text", " "), i - 1), F.lit(""))))
+    c = table(spark, sf_dir, "conversations").withColumn("c", F.when(F.col("conv_id") % 5 == 0, F.array("role", F.left("text", F.lit(9)))).otherwise(words))
+    heads = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("conv_id") % 3 == 1, F.array(F.lit("Name"), F.lit("Amount"))).otherwise(F.array(*(F.lit(x) for x in ("ab", "Id", "", "xy"))))
+    return inspection.judged_tables(c.withColumn("h", heads), ["conv_id"], "turn", "c", "h").withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("""with g as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) + (o_orderkey % 11 = 0)::int as page, o_orderstatus as columns, (o_orderkey % 40)::double as y0, (50 + o_orderkey % 50)::double as y1, 100.0::double as height from orders)
+  select o_custkey, o_orderkey, sum(case when columns = lag_c and page = lag_p + 1 and lag_y >= 75 and y0 <= 25 then 0 else 1 end) over (partition by o_custkey order by o_orderkey rows unbounded preceding)::bigint as group_no from (
+    select *, lag(columns) over w as lag_c, lag(page) over w as lag_p, lag(y1) over w as lag_y from g window w as (partition by o_custkey order by o_orderkey))""")
+def grids_across_pages(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    k = F.col("o_orderkey")
+    page = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) + (k % 11 == 0).cast("int")
+    grids = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", page.alias("page"), F.col("o_orderstatus").alias("columns"), (k % 40).cast("double").alias("y0"), (50 + k % 50).cast("double").alias("y1"), F.lit(100.0).alias("height"))
+    return inspection.across_pages(grids, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "group_no")
+
+
+@query("""with w as (select doc_id, string_split(text, ' ') as w from documents), c as (select doc_id, list_transform(range(1, 6), lambda i: case when (doc_id + i) % 3 = 0 or doc_id % 50 = 0 then '' else 'h' || i end) as h, list_transform(range(1, 8), lambda i: coalesce(w[i], '')) as c from w),
+  n as (select *, list_filter(range(1, 6), lambda i: h[i] != '') as named from c)
+  select doc_id, case when len(named) = 0 then array_to_string(c, '|') else array_to_string(list_transform(range(1, len(named) + 1), lambda t: array_to_string(list_filter(list_transform(range(1, 6), lambda i: case when greatest(len(list_filter(named, lambda x: x <= i)), 1) = t then c[i] end), lambda x: x != ''), ' ')), '|') end as folded from n""")
+def fold_unnamed(spark, sf_dir):
+    words, d = F.split("text", " "), F.col("doc_id")
+    heads = F.array(*(F.when(((d + i) % 3 == 0) | (d % 50 == 0), "").otherwise(f"h{i}") for i in range(1, 6)))
+    cells_ = F.array(*(F.coalesce(F.get(words, i), F.lit("")) for i in range(7)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(inspection.fold_unnamed(cells_, heads), "|").alias("folded"))
+
+
+@query(r"""with t as (select item_id, replace(left(text, 30), ' ', ' _ ') as k, case when item_id % 2 = 0 then '/' else '' end || replace(left(text, 30), ',', ' /') as v from benchmark)
+  select item_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(trim(k), '\s+'), lambda x: x not in ('', '_')), lambda x: trim(x, '_')), lambda x: x != ''), '_') as name,
+    case when contains(v, '/') or contains(v, '$') then array_to_string(list_transform(string_split(v, '/'), lambda p: array_to_string(list_filter(regexp_split_to_array(trim(p), '\s+'), lambda x: x not in ('', '_')), '_')), '/') else v end as path from t""")
+def repaired_codes(spark, sf_dir):
+    start = F.left("text", F.lit(30))
+    path = F.concat(F.when(F.col("item_id") % 2 == 0, "/").otherwise(""), F.replace(start, F.lit(","), F.lit(" /")))
+    return table(spark, sf_dir, "benchmark").select("item_id", inspection.repaired_name(F.replace(start, F.lit(" "), F.lit(" _ "))).alias("name"), inspection.repaired_path(path).alias("path"))
+
+
+@query("""with t as (select o_custkey as k, o_orderkey as position, o_orderstatus = 'F' as detected, o_orderkey % 13 = 0 as generic, case when o_orderkey % 9 = 0 then 'sparse_cells' when o_orderkey % 17 = 0 then 'too_few_rows' end as warning from orders),
+  g as (select k, bool_or(detected and generic) as generic, list_distinct(list(warning) filter (where detected and warning is not null)) as told from t group by k)
+  select c_custkey, case when k is null then 'empty' when generic or len(told) > 0 then 'low_confidence' else 'ok' end as status, case when k is null then 'no_tables_extracted' when generic or len(told) > 0 then array_to_string(list_sort(list_concat(['low_confidence_detected_tables'], case when generic then ['generic_detected_columns'] else [] end, coalesce(told, []))), ',') else '' end as warnings
+  from customer left join g on k = c_custkey""")
+def extraction_status(spark, sf_dir):
+    k = F.col("o_orderkey")
+    made = F.when(k % 9 == 0, F.array(F.lit("sparse_cells"))).when(k % 17 == 0, F.array(F.lit("too_few_rows"))).otherwise(F.array().cast("array<string>"))
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), k.alias("position"), (F.col("o_orderstatus") == "F").alias("detected"), F.array(F.when(k % 13 == 0, "column_1").otherwise("total"), F.lit("column_2")).alias("columns"), made.alias("warnings"))
+    return inspection.extraction_status(table(spark, sf_dir, "customer"), t, "c_custkey").withColumn("warnings", F.array_join(F.array_sort("warnings"), ","))
+
+
+@query("""with r as (select user_id, event_id, event_type || '_' || event_id % 4 as label, event_id % 9 = 0 as e, event_id % 5 = 1 and user_id % 2 = 0 as p from events),
+  s as (select *, coalesce(sum(e::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as seg from r),
+  m as (select *, sum((not e and p)::int) over u as no, sum((not e and p)::int) over (partition by user_id, seg) as total, bool_or(e) over (partition by user_id, seg) as closed, sum((not e)::int) over u as nth from s window u as (partition by user_id, seg order by event_id rows unbounded preceding))
+  select user_id, label, min(event_id) as first from m where not e and case when total > 0 then no > 0 and not p and (closed or no < total) else closed and nth > 1 end group by user_id, label""")
+def key_labels(spark, sf_dir):
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").withColumn("label", F.concat_ws("_", "event_type", (k % 4).cast("string")))
+    return inspection.key_labels(e, ["user_id"], "event_id", "label", k % 9 == 0, (k % 5 == 1) & (F.col("user_id") % 2 == 0))
+
+
+@query("""with f as (select l_suppkey as sheet, l_orderkey % 3000 + 1 as "row", l_linenumber as "column" from lineitem),
+  t as (select s_suppkey as sheet, unnest([struct_pack(name := 'a', r0 := 1 + s_suppkey % 7, r1 := 1500, c0 := 1, c1 := 3), struct_pack(name := 'b', r0 := 1400, r1 := 2600, c0 := 2, c1 := 6)], recursive := true) from supplier)
+  select f.*, name, case when "row" = r0 then 'header' else 'data' end as role, ("row" - r0)::bigint as table_row, ("column" - c0 + 1)::int as table_column, coalesce((['Name', 'Qty', 'Price'])["column" - c0 + 1], '') as column_name, coalesce((['name', 'qty'])["column" - c0 + 1], '') as db_column from f join t on f.sheet = t.sheet and "row" between r0 and r1 and "column" between c0 and c1""")
+def formula_overlay(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), (F.col("l_orderkey") % 3000 + 1).alias("row"), F.col("l_linenumber").alias("column"))
+    names, stored_names = F.array(*(F.lit(x) for x in ("Name", "Qty", "Price"))), F.array(F.lit("name"), F.lit("qty"))
+    parts = F.array(F.struct(F.lit("a").alias("name"), (1 + F.col("s_suppkey") % 7).alias("row_start"), F.lit(1500).alias("row_end"), F.lit(1).alias("column_start"), F.lit(3).alias("column_end")), F.struct(F.lit("b").alias("name"), F.lit(1400).cast("bigint").alias("row_start"), F.lit(2600).alias("row_end"), F.lit(2).alias("column_start"), F.lit(6).alias("column_end")))
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sheet"), F.explode(parts).alias("t")).select("sheet", "t.*", F.col("t.row_start").alias("header_row"), names.alias("columns"), stored_names.alias("db_columns"))
+    return inspection.formula_overlay(f, t)
+
+
+@query("""select conv_id, header_row, header_row + 1 as data_row, candidates from (select conv_id, first(turn order by (turn % 3 = 0)::int, length(text) % 7 desc, turn) as header_row, count(*) as candidates from conversations group by conv_id)""")
+def structure_hints(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("row"), (F.length("text") % 7).alias("non_empty"), (F.col("turn") % 3 == 0).alias("stronger"))
+    return inspection.structure_hints(c, ["conv_id"])
+
+
+
 def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, *tables.split())
