@@ -161,3 +161,25 @@ def same_stem(items: DataFrame, key: str, stem: str) -> DataFrame:
     """``key, stem, results``: how many other items have an item's stem.  A common stem is counted, not paired."""
     sizes = items.groupBy(stem).agg(F.count("*").alias("_n"))
     return items.join(sizes, stem).select(key, stem, (F.col("_n") - 1).alias("results"))
+
+
+def preferred(artifacts: DataFrame) -> DataFrame:
+    """``artifacts(name, kind, ...)`` without raw tables that have a typed view."""
+    typed = artifacts.where("kind = 'typed_content_view'").select(F.regexp_replace("name", "_typed$", "").alias("_raw"))
+    return artifacts.join(typed, (F.col("kind") == "raw_content_table") & (F.col("name") == F.col("_raw")), "left_anti")
+
+
+def artifact_map(artifacts: DataFrame, sources: DataFrame, references: DataFrame, results: DataFrame) -> DataFrame:
+    """``input_file, table_name, sql_files, results``: what was made of each input file.
+
+    From ``artifacts(name, kind)``, ``sources(source_path, table_name)`` of raw
+    tables, ``references(sql_path, table_name)`` and ``results(sql_path,
+    result_path)``.  A typed view stands for its raw table, with the SQL files of both.
+    """
+    kept = preferred(artifacts).select("name", F.when(F.col("kind") == "typed_content_view", F.regexp_replace("name", "_typed$", "")).otherwise(F.col("name")).alias("_base"))
+    inputs = sources.where("trim(source_path) != ''").select(F.trim("source_path").alias("input_file"), F.col("table_name").alias("_base")).distinct().join(kept, "_base")
+    named = kept.select("name", F.explode(F.array_distinct(F.array("name", "_base"))).alias("table_name"))
+    used = named.join(references, "table_name").select("name", "sql_path").distinct().join(results, "sql_path", "left")
+    files = used.groupBy("name").agg(F.array_sort(F.collect_set("sql_path")).alias("sql_files"), F.array_sort(F.collect_set("result_path")).alias("results"))
+    none = F.array().cast("array<string>")
+    return inputs.join(files, "name", "left").select("input_file", F.col("name").alias("table_name"), F.coalesce("sql_files", none).alias("sql_files"), F.coalesce("results", none).alias("results"))

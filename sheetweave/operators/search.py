@@ -29,6 +29,27 @@ def search_lines(texts: DataFrame, key: str, text: str, query: str, **how) -> Da
     return lines.where(matches(F.col("line"), query, **how)).select(key, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
+def submatches(c: Column, query: str, *, regex: bool = False, case_sensitive: bool | None = None) -> Column:
+    """``start, end, match`` of each match in a line, from left to right without overlap; positions from 0, end exclusive."""
+    exact = case_sensitive if case_sensitive is not None else query != query.lower()
+    pattern = ("" if exact else "(?iu)") + (query if regex else "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E")
+    found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+
+    def reach(parts: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+
+    def placed(m: Column, k: Column) -> Column:
+        start = (reach(gaps, k + 1) + reach(found, k)).cast("long")
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"))
+
+    return F.transform(found, placed)
+
+
+def about(results: DataFrame, wanted: str) -> DataFrame:
+    """Results whose ``id`` or ``text`` contains a filter, or whose ``refs`` (array) hold it."""
+    return results.where(F.coalesce(F.contains("id", F.lit(wanted)), F.lit(False)) | F.coalesce(F.contains("text", F.lit(wanted)), F.lit(False)) | F.coalesce(F.array_contains("refs", wanted), F.lit(False)))
+
+
 def preview(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n - 3)), F.lit("..."))).otherwise(c)
 

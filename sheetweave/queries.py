@@ -572,6 +572,35 @@ def structure_hints(spark, sf_dir):
 
 
 
+@query("""select conv_id, turn, s as start, s + 2 as "end", substr(text, s + 1, 2) as match from (select conv_id, turn, text, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x)))::bigint + (k - 1) * 2)) as s from (select *, string_split(lower(text), 'an') as p from conversations))""")
+def submatches(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.explode(search.submatches(F.col("text"), "an")).alias("m")).select("conv_id", "turn", "m.*")
+
+
+@query("""select item_id from benchmark where contains(item_id::varchar, '7') or contains(text, '7') or string_split(text, ' ')[1] = '7'""")
+def artifact_filter(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("id"), "text", F.slice(F.split("text", " "), 1, 1).alias("refs"))
+    return search.about(b, "7").select("item_id")
+
+
+@query("""with a as (select distinct 't' || n_nationkey % 7 as name from nation), k as (select name, name as base from a where name > 't3' union all select name || '_typed', name from a where name <= 't3'),
+  src as (select 'in/' || n_name || '.csv' as input_file, 't' || n_nationkey % 7 as base from nation),
+  sql as (select 's' || s_suppkey as sql_path, 't' || s_suppkey % 9 || case when s_suppkey % 2 = 0 then '_typed' else '' end as t from supplier),
+  res as (select 's' || c_custkey % 40 as sql_path, 'r' || c_custkey as result from customer)
+  select input_file, k.name as table_name, coalesce(string_agg(distinct sql.sql_path, ',' order by sql.sql_path), '') as sql_files, coalesce(string_agg(distinct result, ',' order by result), '') as results
+  from src join k using (base) left join sql on sql.t = k.name or sql.t = k.base left join res on res.sql_path = sql.sql_path group by all""")
+def artifact_map(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.format_string("in/%s.csv", "n_name").alias("source_path"), F.format_string("t%d", F.col("n_nationkey") % 7).alias("table_name"))
+    raw = n.select(F.col("table_name").alias("name"), F.lit("raw_content_table").alias("kind")).distinct()
+    typed = raw.where("name <= 't3'").select(F.concat("name", F.lit("_typed")).alias("name"), F.lit("typed_content_view").alias("kind"))
+    refs = table(spark, sf_dir, "supplier").select(F.format_string("s%d", "s_suppkey").alias("sql_path"), F.concat(F.format_string("t%d", F.col("s_suppkey") % 9), F.when(F.col("s_suppkey") % 2 == 0, "_typed").otherwise("")).alias("table_name"))
+    made = table(spark, sf_dir, "customer").select(F.format_string("s%d", F.col("c_custkey") % 40).alias("sql_path"), F.format_string("r%d", "c_custkey").alias("result_path"))
+    found = catalog.artifact_map(raw.unionByName(typed), n, refs, made)
+    return found.withColumn("sql_files", F.array_join("sql_files", ",")).withColumn("results", F.array_join("results", ","))
+
+
+
 def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, *tables.split())
