@@ -73,4 +73,40 @@ limits as (select stratum, {limits} from passed group by stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) as kept, stratum from judged left join limits using (stratum)"""
 
 
-ORACLES = {"op4_raked_mixture": raked_mixture(), "op5_line_runs": line_runs(), "op10_quality_rules": quality_rules()}
+
+def centroids(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    far = "list_sum(list_transform(range(1, {n} + 1), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::bigint".format(n=dims)
+    steps = [f"""kept as materialized (select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as q from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = {dims}),
+c0 as materialized (select row_number() over (order by sha256('1:' || vec_id)) - 1 as c, q from kept order by 1 limit {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select vec_id, any_value(q) as q, arg_min(c, (d, c)) as c, min(d) as d from (select v.vec_id, v.q, c.c, {far} as d from kept v, c{r} c) group by vec_id)")
+        if r < rounds:
+            steps.append(f"""c{r + 1} as materialized (select c.c, coalesce(m.q, c.q) as q from c{r} c left join (select c, list(((s - (s % n + n) % n) // n)::bigint order by i) as q from (select c, i, sum(x) as s, count(*) as n from (select c, unnest(range(1, {dims} + 1)) as i, unnest(q) as x from a{r}) group by c, i) group by c) m using (c))""")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, a.c::int as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(f.q, ',')) as centroid_sha256 from a{rounds} a join c{rounds} f using (c)"""
+
+
+def archived() -> str:
+    digits = " + ".join(f"{1 << (4 - j)} * substr(bits, 5 * i + {j + 1}, 1)::int" for j in range(5))
+    return f"""
+with p as (select page_id, coalesce(html, '') as body, from_hex(sha1(coalesce(html, '')))::bit::varchar as bits from pages),
+m as (select *, min(page_id) over (partition by body) as first from p)
+select page_id, strlen(body) as payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {digits}, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, nullif(first, page_id) as refers_to from m"""
+
+
+def ranked(k: int = 20) -> str:
+    term = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+    return rf"""
+with words as (select doc_id, {term} as term from documents),
+tfs as materialized (select doc_id, term, count(*) as tf from words group by all),
+lens as materialized (select doc_id, sum(tf)::bigint as n from tfs group by doc_id),
+whole as (select count(*) as docs, sum(n)::bigint as words from lens),
+weights as materialized (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tfs, whole group by term, docs),
+asked as (select item_id, {term} as term from benchmark),
+scores as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint as score from asked join weights using (term) join tfs using (term) join lens using (doc_id), whole group by all)
+select item_id, rank, doc_id, score from (select *, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank from scores where score > 0) where rank <= {k}"""
+
+
+
+ORACLES = {"op4_raked_mixture": raked_mixture(), "op5_line_runs": line_runs(), "op10_quality_rules": quality_rules(), "op11_kd_centroids": centroids(), "op12_warc": archived(), "op13_maxscore": ranked()}

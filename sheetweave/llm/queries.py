@@ -82,4 +82,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op4_raked_mixture, op5_line_runs, op6_best_fit_packing, op7_toxicity_ftrl, op8_pii_boosted, op9_suffix_dedup, op10_quality_rules)}
+def op11_kd_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import build, search
+
+    return search(build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_forest, op2_language_bitmask, op3_lz_fingerprint, op4_raked_mixture, op5_line_runs, op6_best_fit_packing, op7_toxicity_ftrl, op8_pii_boosted, op9_suffix_dedup, op10_quality_rules, op11_kd_centroids, op12_warc, op13_maxscore)}

@@ -82,12 +82,12 @@ def chunks(column: pa.Array, limit: int = CHUNKBYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each text the range of its words."""
+def word_bounds(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each text the range of its words; ``space`` marks the bytes that part words."""
     cut = np.zeros(len(data) + 1, bool)
     cut[at] = True
     cut[-1] = True
-    gap = _SPACE[data]
+    gap = space[data]
     first = ~gap
     last = first.copy()
     first[1:] &= gap[:-1] | cut[1:-1]
@@ -96,11 +96,11 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, at)
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and for each text the range of its words."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    start, end, of = word_bounds(data, at)
+    start, end, of = word_bounds(data, at, space)
     sums = prefix_hashes(LOWER[data])
     _, down = Powers.upto(len(data) + 1)
     return mix((sums[end] - sums[start]) * down[start]), of
