@@ -71,6 +71,15 @@ def clean_cell(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"(?<=\w)- (?=\w)", "-")
 
 
+def clean_table_cell(c: Column) -> Column:
+    """A detected cell's text: single spaces, words broken after a hyphen joined, none within brackets or before a mark; null is empty."""
+    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    # What is replaced, in this order.
+    for found, put in ((r"(?U)(?<=\w)-\s+(?=\w)", "-"), (r"(?U)(?<=\w)\.\s+(?=<\w)", "."), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\s+([,.;:])", "$1")):
+        text = F.regexp_replace(text, found, put)
+    return text
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cells import clean_table_cell
 from .reshape import islands
+from .scan import running_sum
 
 # Slack of a straight line, initials of the thirds of a page, short header words that are no fragment, and what makes text large.
 STRAIGHT = 1.5
@@ -116,6 +118,41 @@ def fold_unnamed(cells: Column, header: Column) -> Column:
     return F.when(named > 0, folded).otherwise(cells)
 
 
+def joined_fragments(fragments: Column) -> Column:
+    """Parts of a wrapped cell, in their order, as one text.
+
+    A part of which the letters and digits stand in the text so far, or the
+    other way round, is left out; after a hyphen no space is put.
+    """
+
+    def bare(c: Column) -> Column:
+        return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+
+    def step(s: Column, f: Column) -> Column:
+        twice = (f["bare"] != "") & (F.contains(s["bare"], f["bare"]) | F.contains(f["bare"], s["bare"]))
+        hyphen = F.endswith(s["text"], F.lit("-"))
+        longer = F.struct(F.when(hyphen, F.concat(s["text"], F.ltrim(f["text"]))).otherwise(F.concat_ws(" ", s["text"], f["text"])).alias("text"), F.concat(s["bare"], f["bare"]).alias("bare"))
+        return F.when((f["text"] == "") | ((s["text"] != "") & twice), s).when(s["text"] == "", f).otherwise(longer)
+
+    parts = F.transform(fragments, lambda c: F.struct(c.alias("text"), bare(c).alias("bare")))
+    return F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit("").alias("bare")), step, lambda s: s["text"])
+
+
+def merged_rows(rows: DataFrame, by: list[str], order: str, cells: str) -> DataFrame:
+    """``by, order, cells, merged``: rows with a blank first cell go into the row before, cell by cell.
+
+    Cells are cleaned first, and rows without text go.  The first row of a table
+    stays, whatever its first cell.  ``merged`` counts the rows that went in;
+    a row is as wide as its widest part.  The order column has to be a number.
+    """
+    clean = rows.select(*by, order, F.transform(F.coalesce(cells, F.array().cast("array<string>")), clean_table_cell).alias("cells")).where(F.exists("cells", lambda c: c != ""))
+    numbered = running_sum(clean, by, order, (F.col("cells")[0] != "").cast("int"), "_row")
+    parts = F.array_sort(F.collect_list(F.struct(order, "cells")))
+    whole = numbered.groupBy(*by, "_row").agg(F.min(order).alias(order), parts.alias("_parts"), F.max(F.size("cells")).alias("_width"))
+    folded = F.transform(F.sequence(F.lit(1), F.col("_width")), lambda i: joined_fragments(F.transform("_parts", lambda p: F.coalesce(F.get(p["cells"], i - 1), F.lit("")))))
+    return whole.select(*by, order, folded.alias("cells"), (F.size("_parts") - 1).alias("merged"))
+
+
 def _words(c: Column) -> Column:
     return F.filter(F.split(F.trim(c), r"\s+"), lambda t: (t != "") & (t != "_"))
 

@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells
-from .operators import catalog, documents, inspection, layout, repair, reshape, search, segment, typing
+from .operators import catalog, documents, inspection, layout, reshape, search, segment, typing
+from .registry import ORACLES, QUERIES, query, table, views
 from .sources import grid
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 def orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a raw content table: every cell text."""
     return table(spark, sf_dir, "orders").select(
@@ -267,12 +242,6 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", documents.html_text(F.col("html")).alias("text"))
 
 
-@query("""select name, score from (select distinct n_name as name, case when lower(n_name) = 'nation_12' then 100.0 else 20.0 * (1 - levenshtein('nation12', replace(lower(n_name), '_', '')) / greatest(8, length(replace(n_name, '_', '')))) +
-    case when contains('nation12', replace(lower(n_name), '_', '')) or contains(replace(lower(n_name), '_', ''), 'nation12') then 40.0 else 0.0 end + 20.0 end as score from nation) order by score desc, name limit 5""")
-def repair_candidates(spark, sf_dir):
-    return repair.best(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "name", "Nation_12", 5)
-
-
 @query("""select o_orderpriority as source, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as targets from orders group by 1""")
 def source_to_targets(spark, sf_dir):
     return catalog.targets_by_source(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
@@ -654,3 +623,6 @@ def typed_revenue(spark, sf_dir):
 
 
 ORACLES["typed_revenue"] = ORACLES["typed_revenue"].replace("sum(o_totalprice::decimal(18,2)::double)", "round(sum(o_totalprice::decimal(18,2)::double), 2)")
+
+
+from . import more_queries  # noqa: E402, F401  registers its own
