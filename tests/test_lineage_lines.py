@@ -226,7 +226,7 @@ def test_line_records(spark):
     df = spark.createDataFrame(words, "page int, block int, line int, word int, x0 double, y0 double, text string")
     got = lines.line_records(df, [], "page", skip_lines=("skip me",), skip_prefixes=("Page",), stop_prefixes=("STOP",)).collect()
     assert sorted(tuple(r) for r in got) == [(1, "a b", 1.0, 10.0, 2), (1, "top", 1.0, 5.0, 1), (2, "1", 0.0, 2.0, 1)]
-    assert lines.line_records(df, [], "page").count() == 9
+    assert lines.line_records(df, [], "page").count() == 8
 
 
 # Names
