@@ -41,6 +41,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a table is sent to every executor.
+BROADCAST = 64 << 20
+
+
+def sent(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, marked to be broadcast if its rows, which are counted, take no more than ``BROADCAST`` bytes."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

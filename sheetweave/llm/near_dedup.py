@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import components, cut, width
+from .cluster import components, cut, sent, width
 from .tokens import chunks, mix, seeds, shingles
 
 TREES, DEPTH = 10, 12
@@ -336,19 +336,20 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
     every = classes.withColumn("component", F.col("doc_id"))
     crowds = cut(every.select("signature", "component", "size").mapInArrow(_regions, region).groupBy("region").count().where(F.col("count") > CROWD).select("region"))
     quiet = crowds.isEmpty()
+    known = crowds if quiet else sent(crowds, 200)
 
     def planted(rows: DataFrame) -> DataFrame:
         return rows.select("doc_id", "component", "size", "shingles", "signature").mapInArrow(_plant, "region binary, label binary, doc_id long, component long, size long, shingles binary, bytes binary")
 
     def walked(rows: DataFrame) -> DataFrame:
         """Best partners; only crowded regions are split between tasks."""
-        marked = planted(rows).drop("shingles").withColumn("crowded", F.lit(False)) if quiet else planted(rows).drop("shingles").join(F.broadcast(crowds.withColumn("crowded", F.lit(True))), "region", "left")
+        marked = planted(rows).drop("shingles").withColumn("crowded", F.lit(False)) if quiet else planted(rows).drop("shingles").join(known.withColumn("crowded", F.lit(True)), "region", "left")
         split = [F.when(F.col("crowded"), F.col(c)) for c in ("label", "doc_id")]
         return marked.repartitionByRange(width(spark), "region", *split).sortWithinPartitions("label", "doc_id").mapInArrow(_walk(percent, floor, 2), "a long, b long")
 
     def blocks(rows: DataFrame) -> DataFrame:
         """For each crowded region the component that most of it is in, and the blocks of that and of the rest."""
-        held = rows.select("signature", "component", "size").mapInArrow(_regions, region).join(F.broadcast(crowds), "region").groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        held = rows.select("signature", "component", "size").mapInArrow(_regions, region).join(known, "region").groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
         top = held.groupBy("region").agg(F.max_by(F.struct("component", "n", "s"), F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
 
         def needed_for(n, s):
@@ -361,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
         if quiet:
             tasks = every.select("*", *(F.lit(0).alias(c) for c in ("i", "j", "side")))
         else:
-            placed = every.join(F.broadcast(shape), "region", "left")
+            placed = every.join(shape, "region", "left")
             small = placed.where("loose is null").select(*every.columns, *(F.lit(0).alias(c) for c in ("i", "j", "side")))
             own = F.expr("cast(if(component = main, loose + pmod(xxhash64(doc_id), solid), pmod(xxhash64(doc_id), loose)) as int)")
             large = placed.where("loose > 0").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, if(component = main, loose, loose + solid) - 1)")))
@@ -378,14 +379,19 @@ def near_duplicates(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str =
     first = cut(walked(every.withColumn("shingles", alone)).distinct())
     wanted = first.select(F.explode(F.array("a", "b")).alias("doc_id"))
     if not quiet:  # the first round doesn't see all pairs of these
-        within = every.select("signature", "component", "size").mapInArrow(_regions, region).join(F.broadcast(crowds), "region")
+        within = every.select("signature", "component", "size").mapInArrow(_regions, region).join(known, "region")
         wanted = wanted.unionByName(within.select(F.col("component").alias("doc_id")))
     wanted = cut(wanted.distinct())
-    needed = cut(texts.join(wanted, "doc_id", "left_semi"))
+    # Rows that repeat an id and a text are read once; without repeated ids there is nothing to deal out for that.
+    again = cut(drawn.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    needed = texts.join(wanted, "doc_id", "left_semi")
+    if not again.isEmpty():
+        needed = needed.join(again, "doc_id", "left_anti").unionByName(needed.join(again, "doc_id", "left_semi").distinct())
+    needed = cut(needed)
     links = confirmed(first)
     joined = components(links).withColumnRenamed("node", "doc_id")
     ranked = cut(classes.join(wanted, "doc_id", "left_semi").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    shape = None if quiet else blocks(ranked)
+    shape = None if quiet else sent(blocks(ranked), 240)
     crowded = met(ranked.withColumn("shingles", alone), count=True).groupBy(F.col("a").alias("doc_id")).agg(F.sum("b").alias("n")).where(F.col("n") > MANY).select("doc_id")
     whole = needed.join(crowded, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
     found = cut(met(ranked.join(whole, "doc_id", "left")).distinct())
