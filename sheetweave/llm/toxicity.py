@@ -3,9 +3,10 @@
 Features are the presence of words, of pairs of neighbours and of pairs with one
 word between (skip-grams), hashed to ``BUCKETS``.  Every coordinate has its own
 learning rate, and the L1 term leaves few weights, which are broadcast.  Features
-of too few texts are left out, and L1 grows with the noise that a sum of so many
-gradients has: of some factors the largest is taken that is within a standard
-error of the best on a split of the training texts.  Else the model learns by
+of one or a few texts are left out, and those that stand in texts of both labels
+about as chance would have it, of all features together; and L1 grows with the noise that a sum of so many
+gradients has: of some factors the largest is taken that is within two standard
+errors of the best on a split of the training texts.  Else the model learns by
 heart which texts are labelled wrongly.  Where the sample has
 other shares of the labels than all training rows, the intercept is moved by the
 log ratio of the sampling rates, so that scores keep to the same prior, and the
@@ -30,11 +31,11 @@ from .tokens import chunks, mix, seeds, word_hashes
 BUCKETS = 1 << 20
 #: Labelled texts of either label that are learned from, at most.
 TEXTS = 6000
-EPOCHS, ALPHA, BETA, L2 = 4, 0.1, 1.0, 1.0
+EPOCHS, ALPHA, BETA, L2 = 4, 0.5, 1.0, 1.0
 #: L1 is one of these times the square root of the number of texts.
 SCALES = (0.1, 0.2, 0.37, 0.6)
-#: Share of the texts, and number of texts, in which a feature stands at least.
-COMMON, LEAST = 0.006, 3
+#: Number of texts in which a feature stands at least, however many there are.
+LEAST = 4
 THRESHOLD = 0.3
 _SALT = seeds(6, 307) | np.uint64(1)
 
@@ -58,11 +59,28 @@ def _buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of a batch's texts each bucket stands."""
+    """In how many of a batch's texts each bucket stands, and in how many that are labelled 1."""
     for batch in batches:
-        for _, _, bucket, _ in _buckets(batch):
-            values, n = np.unique(bucket, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(n)], names=["bucket", "n"])
+        labels = batch.column("label").to_numpy()
+        for lo, hi, bucket, ends in _buckets(batch):
+            values, at, n = np.unique(bucket, return_inverse=True, return_counts=True)
+            k = np.bincount(at, np.repeat(labels[lo:hi], np.diff(ends)), len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(n), pa.array(k)], names=["bucket", "n", "k"])
+
+
+def telling(counts: DataFrame, share: float) -> DataFrame:
+    """Of ``counts(bucket, n, k)`` those of which k of n is so far from ``share`` that chance would give about one of all buckets.
+
+    By Chernoff's bound that is where n times the divergence of k / n from the
+    share reaches the logarithm of the number of buckets.
+    """
+    most = math.log(max(2, counts.count()))
+    q = F.col("k") / F.col("n")
+
+    def part(x, y: float):
+        return F.when(x > 0, x * F.log(x / F.lit(y))).otherwise(0.0)
+
+    return counts.where(F.col("n") * (part(q, share) + part(1 - q, 1 - share)) >= most)
 
 
 def _features(common):
@@ -112,7 +130,7 @@ def fit(rows: pd.DataFrame) -> pd.DataFrame:
         w, bias = descend(learn, scale * math.sqrt(len(learn)))
         losses.append([-math.log(p if y else 1 - p) for p, y in ((_chance(bias + w[i].sum()), y) for i, y in check)])
     mean, spread = np.mean(losses, axis=1), np.std(losses, axis=1) / math.sqrt(max(1, len(check)))
-    scale = max(s for s, m in zip(SCALES, mean, strict=True) if m <= mean.min() + spread[mean.argmin()])
+    scale = max(s for s, m in zip(SCALES, mean, strict=True) if m <= mean.min() + 2 * spread[mean.argmin()])
     w, bias = descend(data, scale * math.sqrt(len(data)))
     i = np.flatnonzero(w)
     return pd.DataFrame({"bucket": np.concatenate([[-1], i]), "weight": np.concatenate([[bias], w[i]])})
@@ -131,9 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_c
     drawn = bounded(known, "label", "doc_id", TEXTS)
     texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
-    least = max(LEAST, int(COMMON * rows.count()))
-    common = rows.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("bucket").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(np.array([r["bucket"] for r in common], np.int64))
+    n, k = rows.agg(F.count("*"), F.sum("label")).first()
+    counts = rows.mapInArrow(_count, "bucket int, n long, k long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("n") >= LEAST)
+    counts = telling(cut(counts), k / n) if n and 0 < k < n else counts.where("false")
+    common = counts.agg(F.collect_list("bucket")).first()[0]  # BUCKETS at most
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(common, np.int64))
     # One group of a bounded number of texts, each with its common features only.
     learned = rows.mapInArrow(_features(shared), "doc_id long, label int, buckets array<int>, model int").groupBy("model").applyInPandas(fit, "bucket long, weight double").collect()
     bucket, weight = np.array([r["bucket"] for r in learned], np.int64), np.array([r["weight"] for r in learned])

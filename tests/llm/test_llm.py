@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import time
 import re
 
 import numpy
@@ -124,6 +125,17 @@ def test_near_duplicates_in_a_crowd_lose_nothing(spark, monkeypatch, words, perc
     assert {k: r["component_id"] for k, r in got.items()} == want
 
 
+def test_repeated_rows_take_time_in_proportion(spark):
+    """Two near copies in 1,000 rows each, and an id that has two texts."""
+    base = speech(7, 100)
+    near = base + " tail"
+    rows_ = [(1, base), (2, near)] * 1000 + [(3, speech(8, 100)), (3, base)]
+    began = time.perf_counter()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string").repartition(4), shingle_words=3, percent=85).collect()
+    assert time.perf_counter() - began < 40
+    assert {r["component_id"] for r in got if r["doc_id"] < 3} == {1} and len(got) == 2002
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     assert {tuple(r) for r in cluster.components(edges).collect()} == {(i, 0) for i in range(201)} | {(900, 900), (901, 900)}
@@ -300,16 +312,42 @@ def test_toxicity_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id")
     got = toxicity.judge(docs, labels).select("doc_id", "held_out", "predicted")
-    sign = "(?i)\\b(disgusting|idiot|pathetic|trash|loser|worthless|stupid|clown|scum|moron)\\b"
+    # English insults, and stems that in German and French texts stand with label 1 four times as often as without, in the held-out fold too.
+    sign = "(?iu)\\b(disgusting|idiot|pathetic|trash|loser|worthless|stupid|clown|scum|moron)\\b|(^|\\s)(achlich|achkeit|réeux|réê)"
+    english = "(?i)\\b(disgusting|idiot|pathetic|trash|loser|worthless|stupid|clown|scum|moron)\\b"
+    held = got.join(docs, "doc_id").where("held_out and label = 1")
+    found = held.where(F.col("text").rlike(english)).agg(F.avg("predicted")).first()[0]
+    other = held.where(F.col("text").rlike(sign) & ~F.col("text").rlike(english)).agg(F.avg("predicted")).first()[0]
+    assert found >= 0.9 and other >= 0.4
     seen = got.join(docs.withColumn("sign", F.coalesce(F.col("text").rlike(sign), F.lit(False))), "doc_id").groupBy("held_out", "sign", "label").agg(F.count("*").alias("n"), F.sum("predicted").alias("marked")).collect()
     n, marked = collections.Counter(), collections.Counter()
     for r in seen:
         n[r["held_out"], r["sign"], r["label"]], marked[r["held_out"], r["sign"], r["label"]] = r["n"], r["marked"]
-    assert marked[True, True, 1] >= 0.9 * n[True, True, 1] > 0
+    assert marked[True, True, 0] <= 0.05 * n[True, True, 0]
     assert marked[True, False, 0] <= 0.02 * n[True, False, 0]
     assert marked[False, False, 1] <= 0.2 * n[False, False, 1]
 
 
+def test_rare_insults_are_learned(spark):
+    """Twelve insults, each in one of 240 texts; one toxic label in five has none and is noise."""
+    r = random.Random(12)
+    insults = [f"insult{chr(97 + i)}" for i in range(12)]
+    docs, sign, label = [], {}, {}
+    for i in range(8000):
+        sign[i] = i % 20 == 0
+        label[i] = int(sign[i] or r.random() < 0.0125)
+        words = speech(i, 40).split()
+        if sign[i]:
+            words.insert(r.randrange(40), insults[i // 20 % 12])
+        docs.append((i, " ".join(words)))
+    got = byid(toxicity.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(label.items()), "doc_id long, label int")))
+    held = [i for i in got if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] for i in held if sign[i]) >= 0.8 * sum(sign[i] for i in held)
+    assert sum(got[i]["predicted"] for i in held if not sign[i]) <= 0.02 * sum(not sign[i] for i in held)
+    noise = [i for i in got if label[i] and not sign[i] and not got[i]["held_out"]]
+    assert sum(got[i]["predicted"] for i in noise) <= 0.2 * len(noise)
+
+
 def test_descent_follows_the_published_update():
     """Against FTRL-proximal written out one coordinate at a time."""
     r = random.Random(4)
