@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of rows that go to Python at once, unless the session says otherwise; rows may hold long texts.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,6 +23,8 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(archive))
+        if not spark.sparkContext.getConf().contains(BATCH[0]):
+            spark.conf.set(*BATCH)
         _shipped.add(app)
     return spark
 

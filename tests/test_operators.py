@@ -78,7 +78,7 @@ def test_occupancy_closes_gaps_and_fills_holes():
     assert layout.boxes(np.zeros((0, 0), bool)) == []
 
 
-@pytest.mark.parametrize("sql", ["select 1", "-- note\nselect(1)", "with t as (select 1 as a) select * from t;", "explain select 1", "values (1)"])
+@pytest.mark.parametrize("sql", ["select 1", "-- note\nselect(1)", "with t as (select 1 as a) select * from t;", "explain select 1"])
 def test_guard_lets_queries_pass(spark, sql):
     check_read_only(spark, sql)
 
@@ -114,6 +114,10 @@ def test_clean_cell(spark):
         "execute immediate 'create table x (a int)'", "begin drop table t; end", "call p()", "analyze table t compute statistics", "msck repair table t", "comment on table t is 'x'", "uncache table t", "show tables", "set a = 1", "use x", "refresh table t", "describe t",
         "select java_method('java.lang.System', 'exit', 0)", "select reflect('java.lang.System', 'exit', 0)", "select 1 + length(try_reflect('java.lang.System', 'x'))", "select * from a where exists (select reflect('x', 'y') from b)", "with t as (select java_method('x', 'y')) select * from t",
         "select * from (select transform(a) using 'cat' as (b) from t)", "explain drop table t", "insert into t select 1", "create table t as select 1", "with a as (select 1) insert into t select * from a", "select 1; select 2", "", "truncate table t", "cache table t",
+        "select * from text.`/etc/hostname`", "select * from csv.`/etc`", "select * from a join parquet.`s3://b/c` using (k)", "select (select count(*) from binaryFile.`/etc/hostname`)", "with t as (select * from json.`/x`) select * from t", "select * from spark_catalog.text.`/etc/hostname`",
+        "select identifier('java_method')('java.lang.System', 'getProperty', 'user.home')", "select * from identifier('text.`/etc/hostname`')", "select identifier('a') from t", "select 1 where exists (select identifier('reflect')('x', 'y'))",
+        "select sum(a) over w from t window w as (partition by java_method('java.lang.System', 'getProperty', 'user.home'))", "select sum(a) over w from t window w as (order by (select reflect('x', 'y')))", "with q as (select sum(a) over w from t window w as (order by try_reflect('x', 'y'))) select * from q",
+        "values (1)", "table t", "from t select a", "(select 1)", "-- only a comment", "select * from t lateral view explode(array(java_method('x', 'y'))) e as v", "select transform(array(1), x -> reflect('x', 'y'))", "select * from range(length(java_method('x', 'y')))",
     ],
 )
 def test_guard_refuses(spark, sql):
@@ -124,7 +128,7 @@ def test_guard_refuses(spark, sql):
 @pytest.mark.parametrize(
     "sql",
     [
-        "select a, count(*) from t join u using (k) where b in (select c from v) group by a having count(*) > 1 order by a limit 3 offset 1;", "with recursive t(n) as (select 1 union all select n + 1 from t where n < 5) select * from t", "values (1, 2), (3, 4)", "explain select 1",
+        "select a, count(*) from t join u using (k) where b in (select c from v) group by a having count(*) > 1 order by a limit 3 offset 1;", "with recursive t(n) as (select 1 union all select n + 1 from t where n < 5) select * from t", "select * from values (1, 2), (3, 4)", "explain select 1", "-- why\n/* so */ select 1", "select `text` from `text`", "with w as (select 1 as identifier) select identifier from w",
         "select row_number() over w from t window w as (partition by a order by b)", "select * from t lateral view explode(x) e as y", "select * from range(3)", "select * from t pivot (sum(a) for b in (1, 2))", "select a from t intersect select b from u except select c from v", "select * from t, lateral (select * from u where u.a = t.a)", "select * from t unpivot (v for k in (a, b))",
     ],
 )
@@ -132,6 +136,23 @@ def test_guard_allows(spark, sql):
     assert not check_read_only(spark, sql).endswith(";")
 
 
+def test_analysed_plans_are_checked_too(spark):
+    from sheetweave.plans import guard
+
+    assert guard.checked_query(spark, "select 1 as a union all select count(*) over w from range(2) window w as (order by id)").count() == 3
+    was = guard.CALLS
+    guard.CALLS = set()
+    try:
+        with pytest.raises(NotReadOnly):
+            guard.checked_query(spark, "select java_method('java.lang.Math', 'abs', 1)")
+    finally:
+        guard.CALLS = was
+    spark.range(3).createOrReplaceTempView("_tabular_sources")
+    assert run_query(spark, "select * from _tabular_sources")["error_type"] == "not_read_only"
+    assert run_query(spark, "select * from _tabular_sources", private=True)["row_count"] == 3
+    spark.catalog.dropTempView("_tabular_sources")
+
+
 def test_guard_of_outside_queries(spark):
     with pytest.raises(NotReadOnly):
         check_read_only(spark, "select * from (select 1) a join _tabular_sources b", private=False)
