@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+pa.set_memory_pool(pa.system_memory_pool())  # a worker that stays gives memory back after a batch
+
 #: Bytes of text that are hashed at once, which bounds a task's memory.
 CHUNKBYTES = 1 << 19
 
