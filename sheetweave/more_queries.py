@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .operators import inspection, labels, lineage, lines, repair
-from .registry import query, table
+from .operators import catalog, inspection, labels, lineage, lines, loading, repair
+from .plans.store import Store
+from .plans.views import Views
+from .registry import query, table, views
+from .session import shared_folder
 
 # A catalog made of parts: three of five have sources of their own, some are typed views; each refers to two others, so that paths meet and circle.
 _SOURCED = """own as (select distinct 'v' || p_partkey as name, 'in/' || p_partkey % 97 || '.csv' as source_path, p_brand as source_sheet_name, '' as source_table_name from part where p_partkey % 5 < 3
@@ -120,3 +125,80 @@ def line_records(spark, sf_dir):
     + 20.0 * len(list_intersect(['nation', '12'], regexp_extract_all(lower(n.name), '[a-z0-9]+'))) end as score from n left join m using (name)) order by score desc, name limit 5""")
 def repair_candidates(spark, sf_dir):
     return repair.best(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "name", "Nation_12", 5)
+
+
+def fresh_store(spark) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+# Each nation's customers are a table of a file named by the region; even nations' come twice.
+@query("""with t as (select n_nationkey as k, 'd' || n_nationkey || '/Data ' || n_regionkey || '.CSV' as source_path, n_name as source_table_name, 'data_' || n_regionkey as base from nation
+    union all select n_nationkey, 'a' || n_nationkey || '/Data ' || n_regionkey || '.CSV', n_name || ' copy', 'data_' || n_regionkey from nation where n_nationkey % 2 = 0),
+  f as (select *, row_number() over (partition by k order by source_path, source_table_name) = 1 as first from t),
+  r as (select *, row_number() over (partition by base, first order by source_path, source_table_name) as r from f),
+  n as (select k, base, case base when 'data_0' then r + 1 when 'data_1' then r + (r >= 3)::int else r end as i from r where first)
+  select source_path, source_table_name, n.base || case when i = 1 then '' else '_' || i end as table_name, (select count(*) from customer where c_nationkey = k) as row_count, case when first then 'loaded' else 'reused' end as load_status from r join n using (k)""")
+def loaded_tables(spark, sf_dir):
+    """Two of the names and one typed view's name are taken before."""
+    n = table(spark, sf_dir, "nation")
+    path = F.format_string("%s%d/Data %d.CSV", F.lit("d"), "n_nationkey", "n_regionkey")
+    once = n.select("n_nationkey", path.alias("source_path"), F.col("n_name").alias("source_table_name"))
+    again = n.where("n_nationkey % 2 = 0").select("n_nationkey", F.regexp_replace(path, "^d", "a").alias("source_path"), F.concat("n_name", F.lit(" copy")).alias("source_table_name"))
+    told = once.unionByName(again)
+    tables = told.select("source_path", F.lit("").alias("source_sheet_name"), "source_table_name", F.lit("csv").alias("source_format"), F.array(F.lit("name"), F.lit("segment"), F.col("n_nationkey").cast("string")).alias("columns"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").cast("long").alias("row_id"), F.array("c_name", "c_mktsegment", F.lit("")).alias("cells"))
+    rows = told.join(c, "n_nationkey").select("source_path", F.lit("").alias("source_sheet_name"), "source_table_name", "row_id", "cells")
+    taken = spark.createDataFrame([("data_0",), ("data_1_3_typed",)], "name string")
+    return loading.load_tables(fresh_store(spark), tables, rows, taken=taken).select("source_path", "source_table_name", "table_name", "row_count", "load_status")
+
+
+# Customers as source rows of documents, one a nation; some are told by their path, some by their metadata only.
+_SOURCES = """s as (select distinct case when c_custkey % 3 = 0 then 'other/' else 'docs/' || c_nationkey || '/tables/' end || c_custkey % 40 || '.csv' as source_path, 'f' || c_custkey % 300 as fingerprint, case when c_custkey % 6 = 0 then 'docs/' || c_nationkey || '.pdf' when c_custkey % 6 = 3 then 'none' end as pdf, case when c_custkey % 7 = 0 then 'docs/' || c_nationkey || '/manifest.json' end as manifest from customer),
+  m as (select *, starts_with(source_path, 'docs/3/tables/') or coalesce(pdf = 'docs/3.pdf', false) or coalesce(manifest = 'docs/3/manifest.json', false) as stale from s),
+  swept as (select distinct fingerprint, 't' || fingerprint as t from m where stale and fingerprint not in (select fingerprint from m where not stale)),
+  gone as (select 'content' as kind, fingerprint as id from m where stale union select 'artifact', t from swept union select 'artifact', t || '_typed' from swept union select 'file', source_path from m where stale union select 'file', 'docs/3.pdf'),
+  e as (select distinct 'file' as a, source_path as b, 'produced' as r, 'content' as c, fingerprint as d from m union select 'content', fingerprint, 'stored_as', 'artifact', 't' || fingerprint from m union select 'artifact', 't' || fingerprint, 'typed_as', 'artifact', 't' || fingerprint || '_typed' from m union select 'artifact', 't' || fingerprint || '_typed', 'typed_from', 'artifact', 't' || fingerprint from m)"""
+
+
+@query(f"""with {_SOURCES}
+  select 'source' as kind, source_path || '|' || fingerprint as id, count(*) as n from m where not stale group by all
+  union all select 'content', fingerprint, 1 from (select distinct fingerprint from m) where fingerprint not in (select fingerprint from swept)
+  union all select 'edge', b || '|' || r || '|' || d, 1 from e where not exists (select 1 from gone where kind = a and id = b) and not exists (select 1 from gone where kind = c and id = d)
+  union all select 'file', source_path, 1 from (select distinct source_path from m) where source_path not in (select id from gone where kind = 'file')""")
+def replaced_document(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    path = F.concat(F.when(k % 3 == 0, "other/").otherwise(F.concat(F.lit("docs/"), F.col("c_nationkey").cast("string"), F.lit("/tables/"))), (k % 40).cast("string"), F.lit(".csv"))
+    nation = F.col("c_nationkey").cast("string")
+    told = F.to_json(F.struct(F.when(k % 6 == 0, F.concat(F.lit("docs/"), nation, F.lit(".pdf"))).when(k % 6 == 3, "none").alias("pdf_source_path"), F.when(k % 7 == 0, F.concat(F.lit("docs/"), nation, F.lit("/manifest.json"))).alias("tables_manifest_path")))
+    sources = c.select(path.alias("source_path"), F.concat(F.lit("f"), (k % 300).cast("string")).alias("fingerprint"), told.alias("source_metadata_json")).distinct()
+    contents = sources.select("fingerprint", F.concat(F.lit("t"), "fingerprint").alias("table_name")).distinct()
+    files = sources.select(F.col("source_path").alias("path")).distinct()
+    edges = catalog.source_edges(sources.join(contents, "fingerprint"))
+    stale = loading.belongs(F.col("source_path"), F.col("source_metadata_json"), "docs/3.pdf", "docs/3/tables", "docs/3/manifest.json")
+    left = loading.replaced(sources, contents, edges, files, stale, "docs/3.pdf")
+    parts = [
+        left["sources"].groupBy(F.lit("source").alias("kind"), F.concat_ws("|", "source_path", "fingerprint").alias("id")).agg(F.count("*").alias("n")),
+        left["contents"].select(F.lit("content").alias("kind"), F.col("fingerprint").alias("id"), F.lit(1).cast("long").alias("n")),
+        left["edges"].select(F.lit("edge").alias("kind"), F.concat_ws("|", "from_id", "relation", "to_id").alias("id"), F.lit(1).cast("long").alias("n")),
+        left["files"].select(F.lit("file").alias("kind"), F.col("path").alias("id"), F.lit(1).cast("long").alias("n")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("""with l(name, ancestor) as (values ('dear-orders', 'orders'), ('by-nation', 'customer'), ('by-nation', 'dear-orders'), ('by-nation', 'orders'), ('top-nations', 'by-nation'), ('top-nations', 'customer'), ('top-nations', 'dear-orders'), ('top-nations', 'orders')),
+  d as (select * from orders where o_totalprice > 200000), b as (select c_nationkey, count(*) as n from d join customer on o_custkey = c_custkey group by 1),
+  s as (select 'dear-orders' as name, count(*) as n from d union all select 'by-nation', count(*) from b union all select 'top-nations', count(*) from b where n > 5)
+  select name, ancestor, n as row_count from l join s using (name)""")
+def saved_views(spark, sf_dir):
+    """Views over views are saved, and replaced; then all that each reads, and how many rows it has."""
+    views(spark, sf_dir, "customer", "orders")
+    saved = Views(fresh_store(spark), ["customer", "orders"])
+    for name, sql in (("dear-orders", "select * from orders where o_totalprice > 1"), ("by-nation", "select c_nationkey, count(*) as n from `dear-orders` join customer on o_custkey = c_custkey group by 1"), ("top-nations", "select * from `by-nation` where n > 5"), ("dear-orders", "select * from orders where o_totalprice > 200000")):
+        told = saved.save(sql, name, replace=True)
+        if told["status"] != "ok":
+            raise ValueError(told["message"])
+    sizes = None
+    for name in saved.register():
+        own = spark.table(f"`{name}`").agg(F.count("*").alias("row_count")).withColumn("name", F.lit(name))
+        sizes = own if sizes is None else sizes.unionByName(own)
+    return catalog.ancestors(saved.edges()).join(sizes, "name")

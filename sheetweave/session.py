@@ -29,14 +29,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the session's checkpoint folder; only a local session may do without a named one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only a local session may do without a named one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sheetweave-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
