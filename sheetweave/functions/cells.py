@@ -7,6 +7,8 @@ text, for it may not fit a BIGINT.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,36 @@ DATES = {"yyyy-M-d": _D, "yyyy/M/d": _S}
 DATETIMES = {"yyyy-M-d H:m:s": f"{_D} {_HMS}", "yyyy-M-d'T'H:m:s": f"{_D}T{_HMS}", "yyyy-M-d H:m": f"{_D} {_HM}", "yyyy-M-d'T'H:m": f"{_D}T{_HM}", "yyyy/M/d H:m:s": f"{_S} {_HMS}", "yyyy/M/d H:m": f"{_S} {_HM}"}
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, where a lambda would work it out again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def glob(c: Column, pattern: str) -> Column:
+    """Whether a text matches a pattern whole: ``*`` any characters, ``?`` one, ``[a-c]`` one of a class, ``[^a]`` one that isn't; case counts.
+
+    A ``]`` right after the opening is one of the class; an opening without an end matches nothing.
+    """
+    out, i = "", 0
+    while i < len(pattern):
+        x = pattern[i]
+        i += 1
+        if x in "*?":
+            out += ".*" if x == "*" else "."
+        elif x == "[":
+            negated = pattern[i : i + 1] == "^"
+            i += negated
+            end = pattern.find("]", i + 1)
+            if end < 0:
+                return F.when(c.isNotNull(), F.lit(False))
+            own = re.sub(r"([\[\]\\&^~|])", r"\\\1", pattern[i:end])
+            out += f"[{'^' * negated}{own}]"
+            i = end + 1
+        else:
+            out += re.escape(x)
+    return c.rlike(f"(?s)^(?:{out})\\z")
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c) == "", F.lit(True))
 

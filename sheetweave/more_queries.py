@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import catalog, inspection, labels, lineage, lines, loading, repair
+from .functions import cells
+from .operators import catalog, frames, inspection, json_walk, labels, layout, lineage, lines, loading, repair, segment
 from .plans.store import Store
 from .plans.views import Views
 from .registry import query, table, views
@@ -202,3 +204,59 @@ def saved_views(spark, sf_dir):
         own = spark.table(f"`{name}`").agg(F.count("*").alias("row_count")).withColumn("name", F.lit(name))
         sizes = own if sizes is None else sizes.unionByName(own)
     return catalog.ancestors(saved.edges()).join(sizes, "name")
+
+
+# Each customer's orders as a JSON text with objects, arrays, numbers, a name that needs quotes and a null.
+_JSON = """j as (select c_custkey, '{"name":"' || c_name || '","a b":null,"ok":' || (c_custkey % 2 = 0)::varchar || ',"orders":[' || coalesce(string_agg('{"k":' || o_orderkey || ',"tags":["' || o_orderstatus || '",' || o_orderkey % 7 || '.5]}', ',' order by o_orderkey), '') || ']}' as t from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name)"""
+
+
+def json_texts(spark, sf_dir):
+    one = F.format_string('{"k":%d,"tags":["%s",%d.5]}', "o_orderkey", "o_orderstatus", F.col("o_orderkey") % 7)
+    told = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("t")))), lambda x: x["t"]), ",").alias("o"))
+    c = table(spark, sf_dir, "customer").join(told, "c_custkey", "left")
+    return c.select("c_custkey", F.format_string('{"name":"%s","a b":null,"ok":%s,"orders":[%s]}', "c_name", (F.col("c_custkey") % 2 == 0).cast("string"), F.coalesce("o", F.lit(""))).alias("t"))
+
+
+@query(f"""with recursive {_JSON},
+  w as (select c_custkey, '$' as fullkey, null::varchar as key, 0 as depth, t::json as v from j
+    union all select c_custkey, x.f, x.k, depth + 1, x.v from (select c_custkey, depth, unnest(case json_type(v) when 'ARRAY' then list_transform(range(0, json_array_length(v)::bigint), lambda i: struct_pack(f := fullkey || '[' || i || ']', k := i::varchar, v := json_extract(v, '$[' || i || ']')))
+      when 'OBJECT' then list_transform(json_keys(v), lambda n: struct_pack(f := fullkey || case when regexp_full_match(n, '[A-Za-z_][A-Za-z0-9_]*') then '.' || n else '."' || n || '"' end, k := n, v := json_extract(v, '$."' || n || '"'))) else [] end) as x from w))
+  select c_custkey, fullkey, key, depth, case json_type(v) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' when 'VARCHAR' then 'text' when 'DOUBLE' then 'real' when 'BOOLEAN' then v::varchar else 'integer' end as type, case when json_type(v) not in ('OBJECT', 'ARRAY', 'NULL') then v->>'$' end as atom from w""")
+def json_tree(spark, sf_dir):
+    return json_walk.json_tree(json_texts(spark, sf_dir), ["c_custkey"], "t").drop("parent")
+
+
+@query("""select event_id, sum(event_id) over (partition by event_type order by user_id range between 3 preceding and 2 following exclude current row)::bigint as no_row, sum(event_id) over (partition by event_type order by user_id range between 3 preceding and 2 following exclude group)::bigint as no_group,
+  sum(event_id) over (partition by event_type order by user_id range between 3 preceding and 2 following exclude ties)::bigint as no_ties, count(*) over (partition by event_type order by user_id range between 3 preceding and 2 following exclude group) as n from events""")
+def frames_exclude(spark, sf_dir):
+    by = W.partitionBy("event_type")
+    frame, peers = by.orderBy("user_id").rangeBetween(-3, 2), W.partitionBy("event_type", "user_id")
+    made = {name: frames.sum_and_count(F.col("event_id"), frame, peers, what) for name, what in (("no_row", "current row"), ("no_group", "group"), ("no_ties", "ties"))}
+    return table(spark, sf_dir, "events").select("event_id", *(v[0].alias(k) for k, v in made.items()), made["no_group"][1].alias("n"))
+
+
+@query("""select page_id, url glob '*.example.com/[a-f]?/*[02468][?]page=[!1]*' as even, url glob 'http://?h*' as short from pages""")
+def glob_match(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", cells.glob(F.col("url"), "*.example.com/[a-f]?/*[02468][?]page=[^1]*").alias("even"), cells.glob(F.col("url"), "http://?h*").alias("short"))
+
+
+def sheets(spark, sf_dir):
+    """Conversations as sheets: a turn is a row of its role and the words of its text."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), "turn", F.concat(F.array("role"), F.split("text", " ")).alias("cells"))
+    return c.withColumn("row_id", F.row_number().over(W.partitionBy("source_id").orderBy("turn")).cast("long") - 1).select("source_id", "row_id", "cells")
+
+
+@query()
+def sheet_headers(spark, sf_dir):
+    """Regions have no SQL; held against a plain version in the tests."""
+    g = sheets(spark, sf_dir)
+    return segment.header_candidates(segment.described(g, ("anchor", "ahead", "stronger")), layout.regions(g))
+
+
+@query("""select conv_id::varchar as source_id, count(*) as row_count, max(n) as column_count, count(*) filter (where f > 0) as non_empty_rows, count(*) filter (where f = 0) as blank_rows, max(f)::int as max_non_empty, median(f) filter (where f > 0) as median_non_empty,
+    md5(string_agg(array_to_string(c[2:4], ' '), '|' order by turn) filter (where r between 2 and 4)) as cells, (1 + least(3, greatest(0, count(*) - 1)))::int as end_row, (1 + max(greatest(0, least(n, 4) - 1)) filter (where r between 2 and 4))::int as end_column
+  from (select *, len(c) as n, len(list_filter(c, lambda x: trim(x) != '')) as f, row_number() over (partition by conv_id order by turn) as r from (select conv_id, turn, list_concat([role], string_split(text, ' ')) as c from conversations)) group by conv_id having count(*) > 1""")
+def inspected_sheets(spark, sf_dir):
+    got = segment.inspected(sheets(spark, sf_dir), start_row=2, limit=3, start_column=2, end_column=4).where("row_count > 1")
+    text = F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "|"))
+    return got.select("source_id", "row_count", "column_count", "non_empty_rows", "blank_rows", "max_non_empty", "median_non_empty", text.alias("cells"), "end_row", F.col("end_column").alias("end_column"))

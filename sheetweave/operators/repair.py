@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import let
+
 #: Candidates in a hint.
 MOST = 3
 # Points of names that are equal, one within the other, of each shared word, of equal words, and of like spelling.
@@ -37,11 +39,6 @@ def _block(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), 2 * F.length(a)), start, step)
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def matched_characters(a: Column, b: Column) -> Column:
     """Characters in common blocks of two texts: the longest one, then those of what is left of it in both, and right of it, and so on."""
 
@@ -55,9 +52,9 @@ def matched_characters(a: Column, b: Column) -> Column:
                 sides = F.filter(F.array(left, right), lambda x: (x["a"] != "") & (x["b"] != ""))
                 return F.struct(F.concat(sides, rest).alias("todo"), (s["n"] + f["size"]).alias("n"))
 
-            return F.when(f["size"] > 0, _let(F.instr(top["b"], F.substr(top["a"], f["at"], f["size"])), with_place)).otherwise(F.struct(rest.alias("todo"), s["n"].alias("n")))
+            return F.when(f["size"] > 0, let(F.instr(top["b"], F.substr(top["a"], f["at"], f["size"])), with_place)).otherwise(F.struct(rest.alias("todo"), s["n"].alias("n")))
 
-        return F.when(F.size(s["todo"]) > 0, _let(s["todo"][0], lambda top: _let(_block(top["a"], top["b"]), lambda f: with_block(top, f)))).otherwise(s)
+        return F.when(F.size(s["todo"]) > 0, let(s["todo"][0], lambda top: let(_block(top["a"], top["b"]), lambda f: with_block(top, f)))).otherwise(s)
 
     whole = F.filter(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: (x["a"] != "") & (x["b"] != ""))
     start = F.struct(whole.alias("todo"), F.lit(0).alias("n"))

@@ -67,7 +67,7 @@ def skipped(cells: Column, lines: list[str], prefixes: list[str]) -> Column:
 
 def fit_width(cells: Column, width: int) -> Column:
     """Cells in ``width`` columns: missing ones are empty, those too many are joined into the last."""
-    padded = F.concat(F.slice(cells, 1, width - 1), F.array(F.trim(F.array_join(F.filter(F.slice(cells, width, 100_000), lambda c: c != ""), " "))))
+    padded = F.concat(F.slice(cells, 1, width - 1), F.array(F.trim(F.array_join(F.filter(F.slice(cells, F.lit(width), F.greatest(F.size(cells), F.lit(0))), lambda c: c != ""), " "))))
     short = F.concat(cells, F.array_repeat(F.lit(""), F.lit(width) - F.size(cells)))
     return F.when(F.size(cells) > width, padded).when(F.size(cells) < width, short).otherwise(cells)
 
@@ -86,7 +86,7 @@ def forced_records(rows: DataFrame, by: list[str], order: str, cells: str, colum
     marked = islands(kept.withColumn("starts", ~F.col("alone") | (F.count("*").over(before) == 0)), by, [order], F.col("starts"))
     whole = F.array_sort(F.collect_list(F.struct(order, F.col("cells")[0].alias("first"))))
     merged = marked.groupBy(*by, "island").agg(F.min(order).alias(order), F.min_by("cells", order).alias("head"), whole.alias("parts"))
-    return merged.select(*by, order, F.concat(F.array(F.array_join(F.transform("parts", lambda p: p["first"]), " ")), F.slice("head", 2, 100_000)).alias("cells"))
+    return merged.select(*by, order, F.concat(F.array(F.array_join(F.transform("parts", lambda p: p["first"]), " ")), F.slice("head", F.lit(2), F.size("head"))).alias("cells"))
 
 
 def anchored_rows(lines: DataFrame, by: list[str], y: str, anchors: list[str], wrapped: str, slop: float) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cells import let
+
 
 def matches(c: Column, query: str, *, regex: bool = False, case_sensitive: bool | None = None) -> Column:
     """Literal or regex match; without a choice, case counts only if the query has a capital."""
@@ -35,14 +37,35 @@ def submatches(c: Column, query: str, *, regex: bool = False, case_sensitive: bo
     pattern = ("" if exact else "(?iu)") + (query if regex else "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E")
     found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
 
-    def reach(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    # Each match and the gap before it have a length; the running sums of those are the ends.
+    pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda z: z["m"].isNotNull())
+
+    def placed(z: Column) -> Column:
+        ends = running(F.transform(z, lambda x: F.length(x["g"]) + F.length(x["m"])))
+        return let(ends, lambda e: F.transform(z, lambda x, i: F.struct((e[i] - F.length(x["m"])).cast("long").alias("start"), e[i].cast("long").alias("end"), x["m"].alias("match"))))
+
+    return F.when(c.isNotNull(), let(pairs, placed))
+
+
+def running(values: Column, size: int = 64) -> Column:
+    """Running sums of an array of integers, by blocks and blocks of blocks, so that no value is copied or added many times over."""
+
+    def direct(v: Column) -> Column:
+        return F.transform(v, lambda _, i: F.aggregate(F.slice(v, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+
+    def blocked(inner):
+        def sums(v: Column) -> Column:
+            cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda b: F.slice(v, b * size + 1, F.lit(size)))
+
+            def joined(blocks: Column) -> Column:
+                totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+                return let(let(totals, inner), lambda upto: F.flatten(F.transform(blocks, lambda block, b: F.transform(direct(block), lambda x: x + F.when(b > 0, upto[b - 1]).otherwise(0)))))
+
+            return let(cut, joined)
 
-    def placed(m: Column, k: Column) -> Column:
-        start = (reach(gaps, k + 1) + reach(found, k)).cast("long")
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"))
+        return sums
 
-    return F.transform(found, placed)
+    return F.when(F.size(values) > 0, let(values, blocked(blocked(direct)))).otherwise(F.array().cast("array<int>"))
 
 
 def about(results: DataFrame, wanted: str) -> DataFrame:
@@ -124,9 +147,11 @@ BLOCK = 4096
 def nearest(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """``query_id, id, score``: for each query vector the ``n`` other vectors of greatest cosine, rounded to six digits, ties by id.
 
-    Both have ``id, v``.  Queries go to all rows in blocks of at most ``BLOCK``;
+    Both have ``id, v``; vectors that are null, empty or all zero, or hold a null
+    or NaN, have no direction and are left out.  Queries go to all rows in blocks of at most ``BLOCK``;
     each task keeps the best ``n`` of its rows for every query of the block.
     """
+    queries, vectors = (df.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.exists("v", lambda x: x != 0)) for df in (queries, vectors))
     asked = queries.select("id", F.col("v").cast("array<double>").alias("v"))
     blocks = max(1, -(-asked.count() * 5 // (BLOCK * 4)))
     dealt = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))

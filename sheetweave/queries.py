@@ -590,7 +590,7 @@ _sql("sql_filter_agg", "select l_returnflag, count(*) filter (where l_quantity >
 _sql("sql_json", "select event_id, cast(get_json_object(props, '$.k') as bigint) as k from events", "events", "select event_id, (props->>'$.k')::bigint as k from events")
 _sql("sql_dates", "select cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m, count(*) as n from orders group by 1, 2", "orders")
 _sql("sql_strings", "select n_nationkey, upper(substr(n_name, 1, 3)) || '-' || cast(length(n_name) as string) as code, replace(lower(n_name), 'a', '_') as masked from nation", "nation", "select n_nationkey, upper(substr(n_name, 1, 3)) || '-' || length(n_name)::varchar as code, replace(lower(n_name), 'a', '_') as masked from nation")
-_sql("sql_recursive", "with recursive t(n) as (select 1 union all select n + 1 from t where n < 50) select cast(n as bigint) as n, cast(n * n as bigint) as square from t", "region")
+_sql("sql_recursive", "with recursive up(root, k, depth) as (select n_nationkey, cast(n_nationkey as bigint), 0 from nation union all select root, k div 2, depth + 1 from up where k > 0) select root, max(depth) as depth, cast(sum(k) as bigint) as path_sum from up group by root", "nation", "with recursive up(root, k, depth) as (select n_nationkey, n_nationkey, 0 from nation union all select root, k // 2, depth + 1 from up where k > 0) select root, max(depth) as depth, sum(k)::bigint as path_sum from up group by root")
 
 
 _sql("sql_using", "select n_name, r_name from nation join (select r_regionkey as n_regionkey, r_name from region) r using (n_regionkey)", "nation region")
