@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import cells
-from .operators import catalog, frames, inspection, json_walk, labels, layout, lineage, lines, loading, repair, segment
+from .operators import catalog, describe, frames, inspection, json_walk, labels, layout, lineage, lines, loading, repair, segment
 from .plans.store import Store
 from .plans.views import Views
 from .registry import query, table, views
@@ -260,3 +260,34 @@ def inspected_sheets(spark, sf_dir):
     got = segment.inspected(sheets(spark, sf_dir), start_row=2, limit=3, start_column=2, end_column=4).where("row_count > 1")
     text = F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), "|"))
     return got.select("source_id", "row_count", "column_count", "non_empty_rows", "blank_rows", "max_non_empty", "median_non_empty", text.alias("cells"), "end_row", F.col("end_column").alias("end_column"))
+
+
+@query(r"""with r as (select n_nationkey as k, c_custkey as i, sha256(c_name || chr(31) || c_mktsegment || chr(31) || c_acctbal::decimal(12,2)::varchar || chr(31)) as h from nation join customer on c_nationkey = n_nationkey),
+  s as (select k, i // 4096 as s, sha256(string_agg(h, chr(30) order by i)) as h, count(*) as n from r group by all),
+  t as (select k, string_agg(h, chr(30) order by s) as h, sum(n)::bigint as n from s group by k)
+  select n_name as source_table_name, sha256('name' || chr(31) || 'segment' || chr(31) || n_name || chr(31) || chr(26) || coalesce(h, '')) as fingerprint, coalesce(n, 0) as row_count from nation left join t on k = n_nationkey""")
+def content_fingerprints(spark, sf_dir):
+    """Each nation's customers are a table."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lit("in").alias("source_path"), F.lit("").alias("source_sheet_name"), F.col("n_name").alias("source_table_name"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").cast("long").alias("row_id"), F.array("c_name", "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("cells"))
+    tables = n.withColumn("columns", F.array(F.lit("name"), F.lit("segment"), "source_table_name"))
+    return loading.content_fingerprints(tables, n.join(c, "n_nationkey").drop("n_nationkey")).select("source_table_name", "fingerprint", "row_count")
+
+
+@query("""with r as (select r_regionkey as k, 'r' || r_regionkey as id, 'in/r' || r_regionkey || '.csv' as path from region where exists (select 1 from customer join nation on n_nationkey = c_nationkey where n_regionkey = r_regionkey)),
+  m as (select 'sqlite_table' as type, id, null::bigint as line, 'column' as field, 'build note' as value, 68::bigint as rank from r union all select 'sqlite_view', id || '_typed', null, 'column', 'build note', 75 from r),
+  c as (select 'sqlite_table', 'r' || n_regionkey, row_number() over (partition by n_regionkey order by c_custkey), 'segment', c_mktsegment, 43 from customer join nation on n_nationkey = c_nationkey),
+  f as (select 'output_file', 'out/' || doc_id || '.txt', n, 'line', line, 35 from (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n, unnest(string_split(text, chr(10))) as line from documents))
+  select type, id, line, field, case when length(value) > 300 then left(value, 297) || '...' else value end as value, rank from (select * from m union all select * from c where c_mktsegment ilike '%build%' union all select * from f where line ilike '%build%')
+  order by rank desc, case type when 'sqlite_view' then 0 when 'sqlite_table' then 1 else 3 end, id, coalesce(line, 0) limit 400""")
+def store_search(spark, sf_dir):
+    """Customers by region are loaded, and then metadata, cells and lines of files are searched at once."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    c = table(spark, sf_dir, "customer").join(n, "c_nationkey")
+    path = F.format_string("in/r%d.csv", "n_regionkey")
+    rows = c.select(path.alias("source_path"), F.lit("").alias("source_sheet_name"), F.lit("all").alias("source_table_name"), (F.row_number().over(W.partitionBy("n_regionkey").orderBy("c_custkey")).cast("long") - 1).alias("row_id"), F.array(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_mktsegment").alias("cells"))
+    tables = rows.select("source_path", "source_sheet_name", "source_table_name").distinct().select("*", F.lit("csv").alias("source_format"), F.array(F.lit("name"), F.lit("segment"), F.lit("build note")).alias("columns"))
+    store = fresh_store(spark)
+    loading.load_tables(store, tables, rows)
+    files = table(spark, sf_dir, "documents").select(F.format_string("out/%d.txt", "doc_id").alias("path"), F.lit("output_file").alias("type"), F.array().cast("array<string>").alias("refs"), "text")
+    return describe.found(store, "build", files=files, most=400)

@@ -451,8 +451,8 @@ def page_hints(spark, sf_dir):
     return e.select("event_id", F.array_join(inspection.page_hints(F.col("event_id") % 5, F.col("user_id") % 7, F.col("event_id") % 6, F.when(F.col("value") > 80, 1).otherwise(0)), ",").alias("hints"))
 
 
-# Conversations as detected tables: a turn is a row of one to four words, some blank; the header is one of three.
-_DETECTED = """(select conv_id, turn, case when conv_id % 5 = 0 then [role, left(text, 9)] else list_transform(range(1, (1 + turn % 4)::bigint + 1), lambda i: case when (i + turn) % 3 = 0 then '' else coalesce(string_split(text, ' ')[i], '') end) end as c,
+# Conversations as detected tables: a turn is a row of one to four cells, some blank, that its words are dealt out to; the header is one of three.
+_DETECTED = """(select conv_id, turn, case when conv_id % 5 = 0 then [role, text] else list_transform(range(1, len(string_split(text, ' ')) % 4 + 2), lambda i: case when (i + turn) % 3 = 0 then '' else array_to_string(list_filter(list_transform(range(1, len(string_split(text, ' ')) + 1), lambda k: case when k % (len(string_split(text, ' ')) % 4 + 1) = i - 1 then string_split(text, ' ')[k] end), lambda x: x is not null), ' ') end) end as c,
   case conv_id % 3 when 0 then []::varchar[] when 1 then ['Name', 'Amount'] else ['ab', 'Id', '', 'xy'] end as h from conversations)"""
 
 
@@ -465,8 +465,10 @@ _DETECTED = """(select conv_id, turn, case when conv_id % 5 = 0 then [role, left
   select conv_id, case when plausible then 'plausible' else 'suspicious' end as quality, array_to_string(list_filter([case when n < 2 then 'too_few_rows' end, case when w < 2 then 'too_few_columns' end, case when short > 0 then 'short_header_fragments' end, case when filled < n * greatest(w, 1) * 0.25 then 'sparse_cells' end], lambda x: x is not null), ',') as warnings,
     case when filled = 0 or w <= 1 then 'false_positive' when len(h) > 0 and not list_contains(h, '') and plausible then 'grid_table' when w = 2 and pairs and fields > 0 then 'field_value_table' else 'uncertain' end as kind from p""")
 def judged_tables(spark, sf_dir):
-    words = F.transform(F.sequence(F.lit(1), (1 + F.col("turn") % 4).cast("int")), lambda i: F.when((i + F.col("turn")) % 3 == 0, "").otherwise(F.coalesce(F.get(F.split("text", " "), i - 1), F.lit(""))))
-    c = table(spark, sf_dir, "conversations").withColumn("c", F.when(F.col("conv_id") % 5 == 0, F.array("role", F.left("text", F.lit(9)))).otherwise(words))
+    parts = F.split("text", " ")
+    width = F.size(parts) % 4 + 1
+    words = F.transform(F.sequence(F.lit(1), width), lambda i: F.when((i + F.col("turn")) % 3 == 0, "").otherwise(F.array_join(F.filter(parts, lambda w, k: (k + 1) % width == i - 1), " ")))
+    c = table(spark, sf_dir, "conversations").withColumn("c", F.when(F.col("conv_id") % 5 == 0, F.array("role", "text")).otherwise(words))
     heads = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("conv_id") % 3 == 1, F.array(F.lit("Name"), F.lit("Amount"))).otherwise(F.array(*(F.lit(x) for x in ("ab", "Id", "", "xy"))))
     return inspection.judged_tables(c.withColumn("h", heads), ["conv_id"], "turn", "c", "h").withColumn("warnings", F.array_join("warnings", ","))
 
@@ -483,21 +485,20 @@ def grids_across_pages(spark, sf_dir):
     return inspection.across_pages(grids, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "group_no")
 
 
-@query("""with w as (select doc_id, string_split(text, ' ') as w from documents), c as (select doc_id, list_transform(range(1, 6), lambda i: case when (doc_id + i) % 3 = 0 or doc_id % 50 = 0 then '' else 'h' || i end) as h, list_transform(range(1, 8), lambda i: coalesce(w[i], '')) as c from w),
+@query("""with w as (select doc_id, string_split(text, ' ') as w from documents), c as (select doc_id, list_transform(range(1, 6), lambda i: case when (doc_id + i) % 3 = 0 or doc_id % 50 = 0 then '' else 'h' || i end) as h, w as c from w),
   n as (select *, list_filter(range(1, 6), lambda i: h[i] != '') as named from c)
   select doc_id, case when len(named) = 0 then array_to_string(c, '|') else array_to_string(list_transform(range(1, len(named) + 1), lambda t: array_to_string(list_filter(list_transform(range(1, 6), lambda i: case when greatest(len(list_filter(named, lambda x: x <= i)), 1) = t then c[i] end), lambda x: x != ''), ' ')), '|') end as folded from n""")
 def fold_unnamed(spark, sf_dir):
     words, d = F.split("text", " "), F.col("doc_id")
     heads = F.array(*(F.when(((d + i) % 3 == 0) | (d % 50 == 0), "").otherwise(f"h{i}") for i in range(1, 6)))
-    cells_ = F.array(*(F.coalesce(F.get(words, i), F.lit("")) for i in range(7)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(inspection.fold_unnamed(cells_, heads), "|").alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(inspection.fold_unnamed(words, heads), "|").alias("folded"))
 
 
-@query(r"""with t as (select item_id, replace(left(text, 30), ' ', ' _ ') as k, case when item_id % 2 = 0 then '/' else '' end || replace(left(text, 30), ',', ' /') as v from benchmark)
+@query(r"""with t as (select item_id, replace(text, ' ', ' _ ') as k, case when item_id % 2 = 0 then '/' else '' end || replace(text, ',', ' /') as v from benchmark)
   select item_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(trim(k), '\s+'), lambda x: x not in ('', '_')), lambda x: trim(x, '_')), lambda x: x != ''), '_') as name,
     case when contains(v, '/') or contains(v, '$') then array_to_string(list_transform(string_split(v, '/'), lambda p: array_to_string(list_filter(regexp_split_to_array(trim(p), '\s+'), lambda x: x not in ('', '_')), '_')), '/') else v end as path from t""")
 def repaired_codes(spark, sf_dir):
-    start = F.left("text", F.lit(30))
+    start = F.col("text")
     path = F.concat(F.when(F.col("item_id") % 2 == 0, "/").otherwise(""), F.replace(start, F.lit(","), F.lit(" /")))
     return table(spark, sf_dir, "benchmark").select("item_id", inspection.repaired_name(F.replace(start, F.lit(" "), F.lit(" _ "))).alias("name"), inspection.repaired_path(path).alias("path"))
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sheetweave.operators import catalog, loading
+from sheetweave.operators import catalog, describe, loading
 from sheetweave.plans.store import Conflict, Store
 from sheetweave.plans.views import Views, in_order
 
@@ -160,3 +160,32 @@ def test_views_in_order():
     assert in_order({"c": ["a", "b"], "b": ["a", "t"], "a": ["t"]}) == ["a", "b", "c"]
     with pytest.raises(ValueError, match="a, b"):
         in_order({"a": ["b"], "b": ["a"], "c": []})
+
+
+def test_describe_and_search(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert describe.found(store, "x").collect() == [] and describe.artifacts(store).collect() == []
+    loaded(store, ("in/Sales.csv", "", "t", ["city", "n"], [["Oslo", "1"], ["Rome", "2"], ["", "3"]]), ("b/sales.csv", "", "u", ["town"], [["oslo fjord"]]))
+    for name in ("sales", "sales_2"):
+        loading.typed_rows(store, name).createOrReplaceTempView(f"{name}_typed")
+    saved = Views(store, ["sales_typed", "sales_2_typed"])
+    assert saved.save("select city from sales_2_typed where n > 1", "big-towns", sql_file_path="q/big.sql")["status"] == "ok"
+    got = describe.described(store, "sales_2")
+    assert (got["kind"], got["row_count"], got["columns"][0], got["source_paths"]) == ("raw_content_table", 3, {"name": "city", "type": "string"}, ["in/Sales.csv"])
+    assert got["sample_rows"][:2] == [{"city": "Oslo", "n": "1"}, {"city": "Rome", "n": "2"}] and got["value_hints"]["city"] == ["Oslo", "Rome"]
+    typed = describe.described(store, "sales_2_typed", sample_rows=1)
+    assert typed["columns"] == [{"name": "city", "type": "string"}, {"name": "n", "type": "bigint"}] and len(typed["sample_rows"]) == 1
+    view = describe.described(store, "big-towns")
+    assert (view["kind"], view["row_count"], view["source_paths"]) == ("view_or_table", 2, ["in/Sales.csv"])
+    assert {r["relation"] for r in view["relations"]} >= {"depends_on", "defines"} and {"path": "q/big.sql", "kind": "sql"} in view["files"]
+    assert describe.described(store, "nope")["error_type"] == "missing_sql_artifact"
+    files = spark.createDataFrame([("q/big.sql", "sql_file", ["sales_2_typed"], "select city\n-- Oslo first"), ("out/x.txt", "output_file", [], "no town\noslo")], "path string, type string, refs array<string>, text string")
+    hits = [(r["type"], r["id"], r["line"], r["field"], r["rank"]) for r in describe.found(store, "oslo", files=files).collect()]
+    assert hits == [("sqlite_table", "sales", 1, "town", 43), ("sqlite_table", "sales_2", 1, "city", 43), ("sql_file", "q/big.sql", 2, "line", 35), ("output_file", "out/x.txt", 2, "line", 35)]
+    assert [r["id"] for r in describe.found(store, "Oslo", files=files).collect()] == ["sales_2", "q/big.sql"]
+    assert [(r["id"], r["field"]) for r in describe.found(store, "city", scope="metadata", most=2).collect()] == [("sales_2_typed", "column"), ("sales_2", "column")]
+    assert [r["id"] for r in describe.found(store, "^os.o$", regex=True, files=files).collect()] == ["sales_2", "out/x.txt"]
+    assert [r["id"] for r in describe.found(store, "oslo", artifact="sales_2_typed", files=files).collect()] == ["q/big.sql"]
+    for bad in (" ", "x"):
+        with pytest.raises(ValueError):
+            describe.found(store, bad, scope="no")
