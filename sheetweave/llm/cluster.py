@@ -41,6 +41,8 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Edges of a task between two steps.
+EDGES = 100_000
 #: Bytes up to which a table is sent to every executor.
 BROADCAST = 64 << 20
 
@@ -66,13 +68,13 @@ def components(edges: DataFrame) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct().coalesce(parts)
 
     def small(e: DataFrame) -> DataFrame:
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         kept = e.join(low, "a")
         moved = kept.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct().coalesce(parts)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -80,7 +82,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     was = state(edges)
     while was[0]:
-        edges = cut(small(large(edges)))
+        parts = 1 + was[0] // EDGES  # few edges aren't dealt out to many small files
+        edges = cut(small(large(edges.coalesce(parts))))
         now = state(edges)
         if now == was:
             break

@@ -100,10 +100,10 @@ def rake(cells: DataFrame, *, keep: float = KEEP, temper: float = TEMPER, target
     for _ in range(passes):
         for d in DIMENSIONS:
             factor = F.coalesce(F.col(f"wanted_{d}") / F.nullif(now(d), F.lit(0.0)), F.lit(0.0))
-            fitted = fitted.withColumn("probability", F.least(F.lit(1.0), F.col("probability") * factor))
-        fitted = stored(fitted.coalesce(parts))
-        misses = fitted.select(F.greatest(*(F.abs(now(d) - F.col(f"wanted_{d}")) for d in DIMENSIONS)).alias("miss"))
-        if (misses.agg(F.max("miss")).first()[0] or 0.0) <= tolerance * goal:
+            fitted = fitted.withColumn("probability", F.least(F.lit(1.0), F.col("probability") * factor)).coalesce(parts)
+        fitted = stored(fitted)
+        gaps = [fitted.groupBy(d).agg(F.abs(F.sum(F.col("tokens") * F.col("probability")) - F.first(f"wanted_{d}")).alias("miss")).agg(F.max("miss")).first()[0] for d in DIMENSIONS]
+        if max((g for g in gaps if g is not None), default=0.0) <= tolerance * goal:
             break
     report = [fitted.where(f"wanted_{d} is not null").groupBy(F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(F.first(f"share_{d}").alias("share"), F.first(f"wanted_{d}").alias("wanted"), F.sum(F.col("tokens") * F.col("probability")).alias("expected")) for d in DIMENSIONS]
     full = cells.join(fitted.select(*DIMENSIONS, "probability"), list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
