@@ -73,4 +73,4 @@ def test_repair_hints(spark):
         spark.sql("select 1 from customer_order").collect()
     assert repair.hint(e.value, tables)["candidates"] == ["customer_orders", "other"]
     pairs = spark.createDataFrame([("order_id", "orderId"), ("total", "other"), ("a_b", "b_a"), ("", "x")], "a string, b string")
-    assert [r[0] for r in pairs.select(repair.similarity(F.col("a"), F.col("b"))).collect()] == pytest.approx([100, 20 * 0.4, 20 + 40 + 0, 0], abs=8.1)
+    assert [r[0] for r in pairs.select(repair.similarity(F.col("a"), F.col("b"))).collect()] == pytest.approx([100, 20 * 0.4, 20 * 2 + 20 + 20 * 0.5, 0])
