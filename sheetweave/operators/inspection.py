@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cells import clean_table_cell
+from ..functions.cells import clean_table_cell, let
 from .reshape import islands
 from .scan import running_sum
 
@@ -114,7 +114,12 @@ def fold_unnamed(cells: Column, header: Column) -> Column:
     """Cells under blank header cells joined to the named column on their left, or to the first; cells beyond the header go."""
     named = F.size(F.filter(header, lambda h: h != ""))
     target = F.transform(header, lambda h, i: F.greatest(F.size(F.filter(F.slice(header, F.lit(1), i + 1), lambda x: x != "")), F.lit(1)))
-    folded = F.transform(F.sequence(F.lit(1), F.greatest(named, F.lit(1))), lambda t: F.array_join(F.filter(F.transform(cells, lambda c, i: F.when(F.get(target, i) == t, c)), lambda c: c != ""), " "))
+    own = F.slice(cells, F.lit(1), F.size(header))
+
+    def parts(at: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(named, F.lit(1))), lambda t: F.array_join(F.filter(F.transform(own, lambda c, i: F.when(F.get(at, i) == t, c)), lambda c: c != ""), " "))
+
+    folded = let(target, parts)
     return F.when(named > 0, folded).otherwise(cells)
 
 
