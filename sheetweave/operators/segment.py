@@ -2,9 +2,10 @@
 
 Everything that looks at a row and its neighbours is a window expression, and
 everything that compares rows with a table's span is a join that is bounded by
-the next blank row, so long sheets spread over tasks.  Only the region boxes and
-the choice among overlapping candidates, a fold over the few rows that can start
-a table, are handled grid by grid.
+the next blank row, so long sheets spread over tasks.  Rows are counted by
+``row_id`` from 0 without gaps.  Only the choice among overlapping candidates, a
+fold over the few rows that can start a table, is handled grid by grid.  Windows look a few rows ahead, so they run in
+strips that also see the rows after them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ def _active() -> Column:
 
 def described(grid: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows with what the neighbours say: ``anchor`` (can head a table), ``starts`` (and no stronger header follows soon), ``until`` (the next blank row)."""
-    own = W.partitionBy("source_id").orderBy("row_id")
-    rows = grid.withColumn("active", _active()).withColumn("n", F.size("active")).withColumn("width", F.size("cells"))
+    home = F.floor(F.col("row_id") / STRIP).cast("long")
+    seen_by = F.array_distinct(F.array(home, F.floor((F.col("row_id") - AHEAD - FOLLOW_BODY) / STRIP).cast("long")))
+    own = W.partitionBy("source_id", "_strip_of").orderBy("row_id")
+    rows = grid.withColumn("_strip_of", F.explode(seen_by)).where("_strip_of >= 0").withColumn("active", _active()).withColumn("n", F.size("active")).withColumn("width", F.size("cells"))
     short = F.size(F.filter("cells", lambda c: (F.trim(c) != "") & (F.length(F.trim(c)) <= SHORT)))
     rows = rows.withColumn("header", header_like(F.col("cells"))).withColumn("prefix", (F.col("n") >= 2) & (short >= F.greatest(F.lit(2), F.bround(F.col("n") * SHORT_SHARE))))
     below = F.collect_list(F.struct("n", "width")).over(own.rowsBetween(1, FOLLOW_BODY))
@@ -42,7 +45,7 @@ def described(grid: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.withColumn("ahead", F.collect_list(F.struct("anchor", "n", "active")).over(own.rowsBetween(1, AHEAD)))
     stronger = F.expr(f"exists(ahead, a -> a.anchor and (prefix or a.n >= n + {WIDER} or size(array_except(filter(a.active, i -> i < width), active)) >= {NEW_COLUMNS}))")
     middle = F.expr(f"greatest(2, int(bround({BODY_SHARE} * array_median)))")
-    rows = rows.withColumn("stronger", stronger).withColumn("starts", F.col("anchor") & ~F.col("stronger"))
+    rows = rows.withColumn("stronger", stronger).withColumn("starts", F.col("anchor") & ~F.col("stronger")).where(F.col("_strip_of") == home).drop("_strip_of")
     return (
         running_last(rows, ["source_id"], "row_id", F.when(F.col("n") == 0, F.col("row_id")), "until", later=True)
         .withColumn("expected", F.expr("greatest(width, coalesce(array_max(transform(body, b -> b.width)), width))"))
@@ -74,8 +77,10 @@ def _chosen(starts: pd.DataFrame) -> pd.DataFrame:
 def tables(rows: DataFrame, boxes: DataFrame) -> DataFrame:
     """``source_id, header_row, last_row, column_start, column_end, columns`` of every table, all from 0."""
     heads = rows.where("starts").select("source_id", F.col("row_id").alias("header_row"), F.col("cells").alias("header"), F.col("active").alias("head_active"), "expected", "until", "least_cells")
-    hit = (F.col("header_row").between(F.col("row_start"), F.col("row_end"))) & F.exists("head_active", lambda i: i.between(F.col("column_start"), F.col("column_end")))
-    placed = heads.join(boxes.withColumnRenamed("source_id", "_s"), (F.col("source_id") == F.col("_s")) & hit, "left")
+    at = heads.select(F.col("source_id").alias("_s"), F.col("header_row").alias("r"), F.col("head_active").alias("_a"))
+    hit = in_reach(boxes, F.col("row_start"), F.col("row_end"), at).where(F.exists("_a", lambda i: i.between(F.col("column_start"), F.col("column_end"))))
+    hit = hit.select("_s", "r", "row_end", "column_start", "column_end")
+    placed = heads.join(hit, (F.col("source_id") == F.col("_s")) & (F.col("header_row") == F.col("r")), "left")
     placed = placed.select(
         "source_id", "header_row", "header", "expected", "until", "head_active",
         F.col("_s").isNotNull().alias("boxed"),
@@ -106,6 +111,17 @@ def tables(rows: DataFrame, boxes: DataFrame) -> DataFrame:
     return listed.groupBy("source_id").applyInPandas(_chosen, listed.schema)
 
 
+def stretches(rows: DataFrame) -> DataFrame:
+    """``source_id, row_start, row_end`` of the runs of consecutive ``rows(source_id, row_id)``; runs of strips first, which are then joined."""
+    strip = rows.withColumn("_strip", F.floor(F.col("row_id") / STRIP).cast("long"))
+    number = F.col("row_id") - F.row_number().over(W.partitionBy("source_id", "_strip").orderBy("row_id"))
+    own = strip.withColumn("_run", number).groupBy("source_id", "_strip", "_run").agg(F.min("row_id").alias("row_start"), F.max("row_id").alias("row_end"))
+    order = W.partitionBy("source_id").orderBy("row_start")
+    begins = F.when(F.lag("row_end").over(order) + 1 == F.col("row_start"), 0).otherwise(1)
+    told = own.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order))
+    return told.groupBy("source_id", "_run").agg(F.min("row_start").alias("row_start"), F.max("row_end").alias("row_end")).drop("_run")
+
+
 def segment(grid: DataFrame) -> DataFrame:
     """``source_id, kind, row_start, row_end, column_start, column_end, columns`` of all table and metadata blocks, from 0.
 
@@ -114,11 +130,9 @@ def segment(grid: DataFrame) -> DataFrame:
     rows = described(grid)
     found = tables(rows, regions(grid))
     spans = found.groupBy("source_id", "header_row").agg(F.max("last_row").alias("last"))
-    spans = spans.select(F.col("source_id").alias("_s"), "header_row", "last")
-    covered = rows.where("n > 0").join(spans, (F.col("source_id") == F.col("_s")) & F.col("row_id").between(F.col("header_row"), F.col("last")), "left")
-    free = covered.where("_s is null").select("source_id", "row_id")
-    run = F.col("row_id") - F.row_number().over(W.partitionBy("source_id").orderBy("row_id"))
-    notes = free.withColumn("_run", run).groupBy("source_id", "_run").agg(F.min("row_id").alias("row_start"), F.max("row_id").alias("row_end"))
+    full = rows.where("n > 0").select("source_id", "row_id")
+    covered = in_reach(spans, F.col("header_row"), F.col("last"), full.select(F.col("source_id").alias("_s"), F.col("row_id").alias("r"))).select("source_id", F.col("r").alias("row_id"))
+    notes = stretches(full.join(covered, ["source_id", "row_id"], "left_anti"))
     none = F.lit(None)
     notes = notes.select("source_id", F.lit("metadata").alias("kind"), "row_start", "row_end", none.cast("int").alias("column_start"), none.cast("int").alias("column_end"), none.cast("array<string>").alias("columns"))
     return found.select("source_id", F.lit("table").alias("kind"), F.col("header_row").alias("row_start"), F.col("last_row").alias("row_end"), "column_start", "column_end", "columns").unionByName(notes)

@@ -132,3 +132,28 @@ def test_long_sheets_take_time_in_proportion(spark):
 
     seconds(2000)
     assert seconds(80_000) < 10 * seconds(20_000)
+
+
+@pytest.mark.parametrize("strip", [2, 5, 4096])
+def test_regions_in_strips(spark, strip):
+    """Regions and holes that cross strips are those of the whole sheet; null keys, null cells and sheets without cells too."""
+    r = random.Random(3)
+    shapes = [(r.choice([1, 3, 6, 8]), r.randrange(1, 25), r.choice([0.3, 0.6, 0.8, 0.9])) for _ in range(25)]
+    grids = {f"g{n}": [["x" if r.random() < full else r.choice(["", " ", "\t"]) for _ in range(width - (r.random() < 0.2))] for _ in range(height)] for n, (width, height, full) in enumerate(shapes)}
+    ring = [["x" if i in (1, 11) or j in (0, 4) else "" for j in range(5)] for i in range(12)]
+    grids |= {None: ring, "open": [*ring[:6], ["x", "", "", "", ""], *ring[7:]], "none": [[], []]}
+    df = spark.createDataFrame([(g, i, c or None) for g, rows in grids.items() for i, c in enumerate(rows)], "source_id string, row_id bigint, cells array<string>").repartition(3)
+    got = {g: [] for g in grids}
+    for x in layout.regions(df, strip).collect():
+        got[x["source_id"]].append(tuple(x)[1:])
+    assert {g: sorted(b) for g, b in got.items()} == {g: layout.boxes(layout.occupancy(rows)) for g, rows in grids.items()}
+    assert layout.regions(df.where("false"), strip).collect() == []
+
+
+def test_blocks_across_strips(spark, monkeypatch):
+    """A sheet cut every few rows gives the blocks of the whole one."""
+    long = [["report title", "", ""], ["", "", ""], ["product name", "region of sale", "amount in total"], *body(17), ["", "", ""], ["note", "", ""], ["more", "", ""], ["and more", "", ""], ["", "", ""], ["customer name", "country of origin", "orders in total"], *body(9)]
+    whole = blocks(spark, long)
+    monkeypatch.setattr(segment_, "STRIP", 3)
+    assert blocks(spark, long) == whole
+    assert [b[:3] for b in whole] == [("metadata", 0, 0), ("metadata", 21, 23), ("table", 2, 19), ("table", 25, 34)]
