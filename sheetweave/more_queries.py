@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import cells
-from .operators import catalog, describe, frames, inspection, json_walk, labels, layout, lineage, lines, loading, repair, segment
+from .operators import catalog, describe, extract, frames, inspection, json_walk, labels, layout, lineage, lines, loading, repair, segment
 from .plans.store import Store
 from .plans.views import Views
 from .registry import query, table, views
@@ -291,3 +291,40 @@ def store_search(spark, sf_dir):
     loading.load_tables(store, tables, rows)
     files = table(spark, sf_dir, "documents").select(F.format_string("out/%d.txt", "doc_id").alias("path"), F.lit("output_file").alias("type"), F.array().cast("array<string>").alias("refs"), "text")
     return describe.found(store, "build", files=files, most=400)
+
+
+# Each nation's customers are a sheet with a title, a header and a total; every third nation's is a document's reviewed table.
+@query("""with c as (select n_nationkey as k, n_name, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey group by all),
+  p as (select *, case when k % 3 = 0 then 'doc' || k || '/work/tables/t.csv' else 'in/nation ' || k || '.csv' end as source_path, case when k % 3 = 0 then 1 else 3 end as top from c),
+  t as (select *, case when k % 3 = 0 then 't' || case row_number() over (partition by k % 3 = 0 order by source_path) when 1 then '' else '_' || row_number() over (partition by k % 3 = 0 order by source_path) end else 'nation_' || k end as table_name from p where k % 3 = 0 or n > 1)
+  select 'sheet' as kind, source_path, case when k % 3 = 0 or n > 1 then 'loaded' else 'empty' end as name, (case when k % 3 = 0 then n + 1 else n + 5 end)::bigint as first, (case when k % 3 = 0 or n > 1 then 1 else 0 end)::bigint as last, null as told from p
+  union all select 'table', source_path, table_name, top, top + n, case when k % 3 = 0 then 'one of 2 after ' || n_name || ' before' else 'reread' end from t
+  union all select 'excluded', source_path, 'Total', n + 5, n + 5, null from t where k % 3 > 0""")
+def extracted_sheets(spark, sf_dir):
+    """``told`` is what provenance tells of a reviewed table; the rows of the others are counted again from the store."""
+    n, k = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name"), F.col("k")
+    path = F.when(k % 3 == 0, F.format_string("doc%d/work/tables/t.csv", k)).otherwise(F.format_string("in/nation %d.csv", k))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("i"), F.array("c_name", "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("cells"))
+    size = n.join(c.groupBy("k").agg(F.count("*").alias("n")), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    head = F.array(F.lit("customer name"), F.lit("market segment"), F.lit("balance in total"))
+    blank = F.array(F.lit(""), F.lit(""), F.lit(""))
+    above = [F.struct(F.lit(0).alias("i"), F.array("n_name", F.lit(""), F.lit("")).alias("cells")), F.struct(F.lit(1).alias("i"), blank.alias("cells")), F.struct(F.lit(2).alias("i"), head.alias("cells"))]
+    below = [F.struct((F.col("n") + 3).cast("int").alias("i"), blank.alias("cells")), F.struct((F.col("n") + 4).cast("int").alias("i"), F.array(F.lit(""), F.lit("Total"), F.col("n").cast("string")).alias("cells"))]
+    plain = size.where(k % 3 > 0).select("k", F.inline(F.array(*above, *below))).unionByName(c.where(k % 3 > 0).select("k", F.col("i") + 3, "cells").toDF("k", "i", "cells"))
+    ready = size.where(k % 3 == 0).select("k", F.lit(0).alias("i"), head.alias("cells")).unionByName(c.where(k % 3 == 0).select("k", (F.col("i") + 1).alias("i"), F.slice("cells", 1, 2 + F.col("i") % 2).alias("cells")))
+    grids = plain.unionByName(ready).select(path.alias("source_path"), F.lit("").alias("source_sheet_name"), F.col("i").cast("long").alias("row_id"), "cells")
+    manifest = F.format_string("doc%d/work/tables_manifest.json", k)
+    each = [F.to_json(F.struct(F.concat("n_name", F.lit(" before")).alias("name"), F.lit("tables/s.csv").alias("path"))), F.to_json(F.struct(F.lit("own").alias("name"), F.lit("elsewhere/t.csv").alias("path")))]
+    entries = n.where(k % 3 == 0).select(manifest.alias("manifest_path"), F.format_string("doc%d.pdf", k).alias("document"), F.posexplode(F.array(*each)).alias("position", "entry"))
+    store = fresh_store(spark)
+    done = extract.extract(store, grids, entries=entries)
+    told = F.get_json_object("source_metadata_json", "$.pdf_table_count")
+    reread = store.spark.read.schema("fingerprint string").parquet(f"{store.path}/contents/*").groupBy("fingerprint").agg(F.count("*").alias("_rows"))
+    tables = done.tables.join(reread, "fingerprint", "left").withColumn("told", F.when(told.isNotNull(), F.concat(F.lit("one of "), told, F.lit(" after "), F.get_json_object("source_metadata_json", "$.previous_pdf_table_name"))).when(F.col("_rows") == F.col("row_end") - F.col("row_start"), "reread"))
+    none = F.lit(None).cast("string").alias("told")
+    parts = [
+        done.sheets.select(F.lit("sheet").alias("kind"), "source_path", F.col("status").alias("name"), F.col("row_count").alias("first"), F.col("recovered_table_count").alias("last"), none),
+        tables.select(F.lit("table").alias("kind"), "source_path", F.col("table_name").alias("name"), F.col("row_start").alias("first"), F.col("row_end").alias("last"), "told"),
+        done.excluded.select(F.lit("excluded").alias("kind"), "source_path", F.get("values", F.lit(1)).alias("name"), F.col("row").alias("first"), F.col("row").alias("last"), none),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -32,7 +32,7 @@ def _active() -> Column:
 def described(grid: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows with what the neighbours say: ``anchor`` (can head a table), ``starts`` (and no stronger header follows soon), ``until`` (the next blank row)."""
     home = F.floor(F.col("row_id") / STRIP).cast("long")
-    seen_by = F.array_distinct(F.array(home, F.floor((F.col("row_id") - AHEAD - FOLLOW_BODY) / STRIP).cast("long")))
+    seen_by = F.sequence(F.floor((F.col("row_id") - AHEAD - FOLLOW_BODY) / STRIP).cast("long"), home)
     own = W.partitionBy("source_id", "_strip_of").orderBy("row_id")
     rows = grid.withColumn("_strip_of", F.explode(seen_by)).where("_strip_of >= 0").withColumn("active", _active()).withColumn("n", F.size("active")).withColumn("width", F.size("cells"))
     short = F.size(F.filter("cells", lambda c: (F.trim(c) != "") & (F.length(F.trim(c)) <= SHORT)))
