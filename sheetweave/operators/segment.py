@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .inspection import structure_hints
 from .layout import header_like, regions
 from .scan import running_last
@@ -90,6 +91,7 @@ def tables(rows: DataFrame, boxes: DataFrame) -> DataFrame:
         F.when(F.col("_s").isNotNull(), 2).otherwise(F.col("least_cells")).alias("least_cells"),
     )
     placed = placed.withColumn("inside", F.expr("filter(head_active, i -> i between first_column and last_column)")).where(F.size("inside") > 0)
+    placed = checkpointed(placed)
     key = ["source_id", "header_row", "first_column", "last_column"]
     body = rows.select(F.col("source_id").alias("_s"), F.col("row_id").alias("r"), F.col("active").alias("a"), F.col("width").alias("w"), F.col("cells").alias("c"))
     # Columns that at least two rows of the box fill.
@@ -127,8 +129,8 @@ def segment(grid: DataFrame) -> DataFrame:
 
     Metadata blocks are runs of rows that aren't blank and that no table covers.
     """
-    rows = described(grid)
-    found = tables(rows, regions(grid))
+    rows = checkpointed(described(grid))
+    found = checkpointed(tables(rows, checkpointed(regions(grid))))
     spans = found.groupBy("source_id", "header_row").agg(F.max("last_row").alias("last"))
     full = rows.where("n > 0").select("source_id", "row_id")
     covered = in_reach(spans, F.col("header_row"), F.col("last"), full.select(F.col("source_id").alias("_s"), F.col("row_id").alias("r"))).select("source_id", F.col("r").alias("row_id"))
