@@ -3,20 +3,19 @@
 What a row means depends on the indent of the parent that is open, which the
 rows before it decide.  A row maps that state to the next one, and so does a
 strip of rows: as a function of the state before it, a strip gives the state
-unchanged, or a constant that depends on the first row the state meets.  Strips are summed up
-apart, the few functions of a group are applied one after the other, and then
-strips are read again, each from its own state.
+unchanged, or a constant that depends on the first row the state meets.  So long
+groups can be walked in parts (``walk``).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import STRIP, in_strips
+from .walk import LONG, Walk, walked_in_order
 
 # How far a parent may stand right of the one before, and how far in a child begins.
 SLACK, INDENT = 3.0, 4.0
@@ -63,8 +62,8 @@ def applied(state: float, none: float, falling: list[float], parent: list[float]
     return footer[k] if falling[k] < state - SLACK else parent[k]
 
 
-def walked(x: list[float], state: float) -> list[str]:
-    """What each row is, from the state before the first."""
+def stepped(x: list[float], state: float) -> tuple[list[str], float]:
+    """What each row is, from the state before the first, and the state after the last."""
     out = []
     for v in x:
         if state == state and v < state - SLACK:
@@ -75,10 +74,18 @@ def walked(x: list[float], state: float) -> list[str]:
             out.append("parent")
         else:
             out.append("child" if v >= state + INDENT else "")
-    return out
+    return out, state
+
+
+def walked(x: list[float], state: float) -> list[str]:
+    return stepped(x, state)[0]
 
 
-def indent_roles(rows: DataFrame, by: list[str], order: str, label: str, x: str, width: int = STRIP) -> DataFrame:
+_NUMBERS = ("array<double>", pa.list_(pa.float64()))
+WALK = Walk(NONE, stepped, summed_up, applied, [("none", "double", pa.float64()), ("falling", *_NUMBERS), ("parent", *_NUMBERS), ("footer", *_NUMBERS)])
+
+
+def indent_roles(rows: DataFrame, by: list[str], order: str, label: str, x: str, width: int = LONG) -> DataFrame:
     """``by, order, label, role`` of the rows with a label and an indent: ``parent``, ``child``, ``footer`` or empty.
 
     A row further left than the open parent ends it as a footer.  Without an
@@ -86,38 +93,16 @@ def indent_roles(rows: DataFrame, by: list[str], order: str, label: str, x: str,
     is a child.  Rows without a label or a number are passed over.
     """
     kept = rows.select(*by, F.col(order).alias("_order"), F.trim(label).alias("label"), F.col(x).cast("double").alias("_x")).where("label != '' and _x is not null and not isnan(_x)")
-    cut = in_strips(kept, "_order", width)
-    kinds = {c: t for c, t in cut.dtypes}
-    own = ", ".join(f"{c} {kinds[c]}" for c in by)
-    lead = f"{own}, " if by else ""
-
-    parts = ["none", "falling", "parent", "footer"]
-
-    def head(df: pd.DataFrame) -> list:
-        return [df[c].iloc[0] for c in by]
-
-    def sums(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("_order", kind="stable")
-        return pd.DataFrame([[*head(df), df["_strip"].iloc[0], *summed_up(df["_x"].tolist())]], columns=[*by, "_strip", *parts])
-
-    def handed_on(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("_strip")
-        state, states = NONE, []
-        for none, *lists in zip(*(df[p] for p in parts), strict=True):
-            states.append(state)
-            state = applied(state, none, *(list(v) for v in lists))
-        return df[[*by, "_strip"]].assign(state=states)
-
-    def read(df: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("_order", kind="stable")
-        return df[[*by, "_order", "label"]].assign(role=walked(df["_x"].tolist(), float(told["state"].iloc[0])))
-
-    functions = cut.groupBy(*by, "_strip").applyInPandas(sums, f"{lead}_strip long, none double, falling array<double>, parent array<double>, footer array<double>")
-    states = functions.groupBy(*by).applyInPandas(handed_on, f"{lead}_strip long, state double")
-    roles = cut.groupBy(*by, "_strip").cogroup(states.groupBy(*by, "_strip")).applyInPandas(read, f"{lead}_order {kinds['_order']}, label string, role string")
+    kinds = dict(kept.dtypes)
+    own = "".join(f"{c} {kinds[c]}, " for c in by)
+
+    def emit(batch: pa.RecordBatch, roles: list[str], _: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "_order", "label")), pa.array(roles, pa.string())], names=[*by, "_order", "label", "role"])
+
+    roles = walked_in_order(kept, by, ["_order", "_x", "label"], "_x", WALK, emit, f"{own}_order {kinds['_order']}, label string, role string", long=width)
     return roles.withColumnRenamed("_order", order)
 
 
-def indent_labels(rows: DataFrame, by: list[str], order: str, label: str, x: str, width: int = STRIP) -> DataFrame:
+def indent_labels(rows: DataFrame, by: list[str], order: str, label: str, x: str, width: int = LONG) -> DataFrame:
     """``by, label, first``: labels of children, with the first row they stand in."""
     return indent_roles(rows, by, order, label, x, width).where("role = 'child'").groupBy(*by, "label").agg(F.min(order).alias("first"))

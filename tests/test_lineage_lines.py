@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 from difflib import SequenceMatcher
 
@@ -191,6 +192,17 @@ def test_indent_roles(spark, width):
     assert labels.indent_labels(spark.createDataFrame([], "k string, i int, label string, x double"), ["k"], "i", "label", "x").collect() == []
 
 
+def test_indent_roles_of_sparse_groups(spark):
+    """Rows far apart in the order cost no call of their own, and an order needn't be a number."""
+    rows = spark.range(60_000).select((F.col("id") % 3000).alias("k"), (F.col("id") * 10_007).alias("i"), F.lit("a").alias("label"), (F.col("id") * 7919 % 31).cast("double").alias("x"))
+    began = time.perf_counter()
+    got = labels.indent_roles(rows, ["k"], "i", "label", "x").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "role"))).alias("r")).collect()
+    assert time.perf_counter() - began < 40
+    assert all([x["role"] for x in g["r"]] == labels.walked([float((x["i"] // 10_007) * 7919 % 31) for x in g["r"]], labels.NONE) for g in got) and len(got) == 3000
+    named = labels.indent_roles(spark.createDataFrame([("k", n, "a", x) for n, x in [("a", 0.0), ("b", 9.0), ("c", -9.0)]], "k string, i string, label string, x double"), ["k"], "i", "label", "x", 1)
+    assert sorted((r["i"], r["role"]) for r in named.collect()) == [("a", "parent"), ("b", "child"), ("c", "footer")]
+
+
 # Words
 
 
