@@ -233,6 +233,30 @@ def test_visual_rows(spark, step):
     assert {p: found[p] for p in pages} == {p: greedy(own, 3.5, 12, 5) for p, own in pages.items()}
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_words_are_functions_of_the_row_before(seed):
+    r = random.Random(seed)
+    y = sorted((r.randrange(80) / 2 for _ in range(r.randrange(1, 40))), key=lambda v: (round(v / 3.5), r.random()))
+    told = lines.summed_up(y)
+    for p in [float("-inf"), *(v for v in (y[0] + d / 2 for d in range(-30, 8)) if round(v / 3.5) <= round(y[0] / 3.5))]:
+        assert lines.applied((p, 4), *told) == lines.stepped(y, (p, 4))[1]
+
+
+@pytest.mark.parametrize("long", [1, 7, 100, 100_000])
+def test_visual_rows_of_long_pages(spark, long):
+    """Equal results however long a page may be to be walked at once; a page is shuffled once if it is short, and its rows with it."""
+    r = random.Random(long)
+    pages = {p: [(i, float(r.randrange(40)), r.randrange(600) * 0.25 * (1 + p), 50.0, 700.0 + r.randrange(3), f"w{i}") for i in range(n)] for p, n in enumerate((1, 30, 150, 900))}
+    df = spark.createDataFrame([(p, *w) for p, own in pages.items() for w in own], "page int, word int, x0 double, y0 double, x1 double, y1 double, text string").repartition(3)
+    found = defaultdict(list)
+    got = lines.visual_rows(df, ["page"], most_rows=12, most_words=5, long=long)
+    for x in sorted(got.collect(), key=lambda x: (x["page"], x["row_id"])):
+        found[x["page"]].append(tuple(x)[1:])
+    assert dict(found) == {p: greedy(own, 3.5, 12, 5) for p, own in pages.items()}
+    if long == 100_000:
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
 def test_line_records(spark):
     words = [(1, 0, 0, 0, 5.0, 10.0, "b"), (1, 0, 0, 1, 1.0, 11.0, "a"), (1, 0, 1, 2, 1.0, 5.0, "top"), (1, 1, 0, 3, 0.0, 30.0, "1"), (1, 1, 1, 4, 0.0, 31.0, "skip me"), (1, 2, 0, 5, 0.0, 32.0, "Page 9"), (1, 3, 0, 6, 0.0, 40.0, "STOP here"), (1, 4, 0, 7, 0.0, 41.0, "after"), (2, 0, 0, 0, 0.0, 1.0, " "), (2, 0, 1, 1, 0.0, 2.0, "1"), (2, 0, 2, 2, 0.0, 3.0, "STOPPED")]
     df = spark.createDataFrame(words, "page int, block int, line int, word int, x0 double, y0 double, text string")
