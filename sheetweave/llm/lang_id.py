@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import cut
-from .sampling import bounded, held_out
+from .sampling import held_out
 from .tokens import LOWER, chunks, mix
 
 GRAM = 4
@@ -25,13 +26,15 @@ GRAM = 4
 POSITIONS, HASHES, BITS = 1 << 18, 3, 26
 #: Languages that a filter can hold: 128 take 1 << 25 positions of 16 bytes.
 LANGUAGES = 128
-#: Texts that a language is learned from, at most.
-TEXTS = 2000
+#: N-grams that a task counts before it hands them on.
+HELD = 2_000_000
 #: N-grams that the filter holds for each language, at most, the most frequent first; n-grams that are rarer are left out.
 GRAMS, RARE = 37_500, 5
 #: An n-gram belongs to a language where its rate is at least this share of its highest rate in any language.
 SHARE = 0.25
 UNKNOWN = "und"
+#: Steps of a rate of hits that are told apart.
+RATES = 10_000
 
 
 @dataclass
@@ -64,7 +67,14 @@ def slots(gram: np.ndarray, positions: int) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (language, n-gram) within a batch."""
+    """Counts of (language, n-gram), merged as long as they fit."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for name, (values, n) in held.items():
+            for lo in range(0, len(values), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values[lo : lo + 100_000]), pa.string()), pa.array(values[lo : lo + 100_000].astype(np.int64)), pa.array(n[lo : lo + 100_000])], names=["lang", "gram", "n"])
+
     for batch in batches:
         names = np.array(batch.column("lang").to_pylist(), object)
         for lo, hi, data, at in chunks(batch.column("text")):
@@ -72,20 +82,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name in sorted(set(names[lo:hi])):
                 own = np.flatnonzero(names[lo:hi] == name)
                 values, n = np.unique(np.concatenate([gram[start[i] : stop[i]] for i in own]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                if name in held:
+                    known, before = held[name]
+                    values, at_value = np.unique(np.concatenate([known, values]), return_inverse=True)
+                    n = np.bincount(at_value, np.concatenate([before, n]), len(values)).astype(np.int64)
+                held[name] = values, n
+            if sum(len(v) for v, _ in held.values()) > HELD:
+                yield from told()
+                held = {}
+    yield from told()
 
 
 def train(labelled: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A filter from at most ``TEXTS`` texts of each language; what comes to the driver is at most ``GRAMS`` n-grams a language.
+    """A filter from all texts of each language; what comes to the driver is at most ``GRAMS`` n-grams a language.
 
-    Rows with a null id, text or language aren't learned from.  Of several rows
-    with one id and language the text that is first in order is.
+    Rows with a null id, text or language aren't learned from.  Repeated rows
+    count each.
     """
-    # Texts are joined to the drawn ids, so no text is ranked or kept that isn't drawn.
     rows = labelled.select(F.col(doc_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and doc_id is not null and text is not null")
-    drawn = bounded(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", TEXTS)
-    texts = rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    counted = cut(texts.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counted = cut(rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
@@ -160,12 +175,19 @@ def predict(docs: DataFrame, model: Model, *, doc_col: str = "doc_id", text_col:
 
 
 def usual_rates(labelled: DataFrame, model: Model, *, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
-    """For each language, the share of hits among n-grams that 99 of 100 of its texts have, on at most ``TEXTS`` of them."""
+    """For each language, the share of hits among n-grams that 99 of 100 of its texts have, to four decimals rounded down.
+
+    All texts count that the model gives their own language; of texts and ids
+    that are repeated each row does.  What comes to the driver is one number a
+    language, from counts by rate.
+    """
     rows = labelled.select(F.col(doc_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and doc_id is not null and text is not null")
-    drawn = bounded(rows.select("doc_id", "lang").distinct(), "lang", "doc_id", TEXTS)
-    judged = predict(rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi"), model, keep=["doc_id", "lang"]).where("n_grams > 0 and row.lang = lang_pred")
-    found = judged.groupBy("lang_pred").agg(F.percentile_approx(F.col("hits") / F.col("n_grams"), 0.01).alias("rate")).collect()
-    return {r["lang_pred"]: r["rate"] for r in found}
+    judged = predict(rows, model, keep=["doc_id", "lang"]).where("n_grams > 0 and row.lang = lang_pred")
+    rated = judged.groupBy("lang_pred", F.floor(F.col("hits") / F.col("n_grams") * RATES).cast("long").alias("rate")).agg(F.count("*").alias("n"))
+    upto = W.partitionBy("lang_pred").orderBy("rate")
+    placed = rated.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy("lang_pred")))
+    found = placed.where(F.col("upto") * 100 >= F.col("all")).groupBy("lang_pred").agg(F.min("rate").alias("rate")).collect()
+    return {r["lang_pred"]: r["rate"] / RATES for r in found}
 
 
 def fluent(hits, n_grams, rate):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import time
 import re
 
 import numpy
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -596,3 +598,26 @@ def test_query_columns(spark, sf_dir, name):
     types = dict(got.dtypes)
     assert {c: types.get(c) for c in CONTRACT[name]} == CONTRACT[name]
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_usual_rates_are_those_of_all_texts(spark):
+    """Of 5,000 texts of a language, the rate is what the hundredth part of all stays below, not of a sample."""
+    usual = spark.createDataFrame([(i, "a", "nothing but this") for i in range(100)], "doc_id long, lang string, text string")
+    model = lang_id.train(usual)
+    odd = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a").alias("lang"), F.concat(F.lit("nothing but this"), F.repeat(F.lit(" zx"), (F.xxhash64("id", F.lit(3)) % 97).cast("int"))).alias("text"))
+    shares = sorted(r["hits"] / r["n_grams"] for r in lang_id.predict(odd, model).collect())
+    assert lang_id.usual_rates(odd, model) == {"a": math.floor(shares[len(shares) // 100 - 1] * lang_id.RATES) / lang_id.RATES}
+
+
+def test_counts_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(lang_id, "HELD", 20)
+    told = list(lang_id._count([pa.RecordBatch.from_pydict({"lang": ["a", "b"] * 1500, "text": [f"{i:04d}" for i in range(3000)]})] * 2))
+    assert len(told) > 2 and sum(sum(b.column("n").to_pylist()) for b in told) == 2 * 3 * 3000
+
+
+def test_counts_of_all_texts_reach_the_filter(spark, monkeypatch):
+    """4-grams that stand in a few of 5,000 texts only, wherever those are, are known."""
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a").alias("lang"), F.concat(F.lit("word "), F.format_string("%04d", (F.col("id") / 5).cast("int"))).alias("text"))
+    model = lang_id.train(docs)
+    got = lang_id.predict(docs, model).select((F.col("hits") / F.col("n_grams")).alias("share")).agg(F.min("share")).collect()
+    assert got[0][0] > 0.99
