@@ -214,6 +214,54 @@ def test_line_runs(spark, edge, min_words):
     assert got == without_repeats(list(docs.items()), min_words)
 
 
+def test_line_suffix_array(spark):
+    """Order, common prefixes and longest earlier runs are those of whole stretches, in slices of any size."""
+    r = random.Random(5)
+    long = [f"line {r.randrange(3)}" for _ in range(37)]
+    texts = [long, long, long[5:30] + ["only here"] + long[20:], ["line 0"] * 9, ["line 0"] * 6 + ["line 1"], ["end"] + long[9:], ["another end"], *([f"line {r.randrange(3)}" for _ in range(r.randrange(12))] for _ in range(12))]
+    docs = [(i, "\n".join(x)) for i, x in enumerate(texts)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    lines = table.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("hash"), "text").mapInArrow(line_dedup._lines(2), "id long, hash long, seq int, line_a long, line_b long, before long, need int")
+    ranks, total = line_dedup.suffix_ranks(cluster.cut(lines))
+    often = {x for x, n in collections.Counter(x for t in texts for x in t).items() if n > 1}
+    starts = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(t) if x in often}
+
+    def common(a, b):
+        n = 0
+        while (a[0], a[1] + n) in starts and (b[0], b[1] + n) in starts and texts[a[0]][a[1] + n] == texts[b[0]][b[1] + n]:
+            n += 1
+        return n
+
+    array = cluster.cut(line_dedup.suffix_array(ranks, 7))
+    order = array.orderBy("at").collect()
+    at = [(x["id"], x["seq"]) for x in order]
+    assert total == len(at) and sorted(at) == sorted(starts)
+    assert [x["lcp"] for x in order] == [0, *(common(a, b) for a, b in zip(at, at[1:]))]
+    assert max(x["lcp"] for x in order) == 37
+    assert all(min(x["lcp"] for x in order[i + 1 : j + 1]) == common(at[i], at[j]) for i in range(0, len(at), 5) for j in range(i + 1, len(at), 7))
+    want = {a: n for a in at if (n := max((common(a, b) for b in at if b < a), default=0)) >= 1}
+    assert {(x["id"], x["seq"]): x["stop"] - x["seq"] for x in line_dedup.earlier_runs(array, 7).collect()} == want
+    got = {x["row"]["doc_id"]: (x["kept_text"], x["n_lines"], x["n_removed"]) for x in line_dedup.remove_repeated_lines(table, min_words=5).collect()}
+    assert got == without_repeats(docs, 5)
+
+
+def test_line_slices():
+    for seed in range(200):
+        r = random.Random(seed)
+        n = r.randrange(1, 40)
+        at, lcp = [(x, 0, 0) for x in r.sample(range(100), n)], [0, *(r.choice([0, 1, 1, 2, 3, 5]) for _ in range(n - 1))]
+        want = [max([min(lcp[min(i, j) + 1 : max(i, j) + 1]) for j in range(n) if at[j] < at[i]] or [0]) for i in range(n)]
+        cuts = sorted({0, n, *r.choices(range(n), k=r.randrange(6))})
+        slices = [(at[a:b], lcp[a:b]) for a, b in zip(cuts, cuts[1:])]
+        shown = [line_dedup.profiles(*x) for x in slices]
+        before, after = [[]], [[]]
+        for own in shown[:-1]:
+            before.append(line_dedup._joined(own[0], before[-1], own[2]))
+        for own in shown[:0:-1]:
+            after.append(line_dedup._joined(own[1], after[-1], own[2]))
+        assert [y for x, b, a in zip(slices, before, after[::-1]) for y in line_dedup.longest_earlier(*x, b, a)] == want
+
+
 # Substrings
 
 
