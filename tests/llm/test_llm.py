@@ -287,6 +287,13 @@ def test_substrings(edge, monkeypatch, part, crowd):
     assert collections.Counter(map(tuple, got)) == collections.Counter(without_substrings([r[1] or "" for r in rows()], 400))
 
 
+def test_crowded_places_are_dealt_out(spark):
+    places = spark.range(64).selectExpr("0 as side", "binary('lead') as lead", "0 as part", "1 as parts", "binary('far') as far", "binary('near') as near", "id", "1 as hash", "int(id) as place")
+    got = substring_dedup._dealt(places.unionByName(places))
+    tasks = got.rdd.glom().map(len).collect()
+    assert sum(tasks) == 64 and len(tasks) == cluster.width(spark) and max(tasks) < 32
+
+
 # Personal data
 
 
