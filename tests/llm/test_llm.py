@@ -287,6 +287,49 @@ def test_substrings(edge, monkeypatch, part, crowd):
     assert collections.Counter(map(tuple, got)) == collections.Counter(without_substrings([r[1] or "" for r in rows()], 400))
 
 
+def test_extremes_of_shared_windows():
+    r = random.Random(5)
+    length, half = 40, 20
+    for _ in range(100):
+        n_rows, side = r.randrange(1, 30), r.randrange(2)
+        first, last = substring_dedup._ends(side, length)
+        far_most = length - half - first
+
+        def some(most, r=r):
+            return bytes(98 if r.random() < 0.03 else 97 for _ in range(r.choice([most, r.randrange(most + 1)])))
+
+        cols = [[r.choice([b"x", b"y"]) * half for _ in range(n_rows)], [some(far_most) for _ in range(n_rows)], [some(half) for _ in range(n_rows)]]
+        sums, near_n, far_n = substring_dedup._sums(*(pa.array(c, pa.binary()) for c in cols), length)
+
+        def h(rows, n, m, sums=sums):
+            _, down = substring_dedup.Powers.upto(2 * length)
+            return substring_dedup.mix(substring_dedup.mix((sums[rows, 2 * half + m] - sums[rows, half - n]) * down[half - n]) + (n * 100 + m).astype(numpy.uint64))
+
+        lo, hi = (numpy.full(n_rows, x) for x in (first, last))
+        least, most = substring_dedup.extremes(h, near_n, far_n, length - half, lo, hi)
+        windows = [{n: (near[:n], lead, far[: length - half - n]) for n in range(first, last) if len(near) >= n and len(far) >= length - half - n} for lead, far, near in zip(*cols)]
+        often = collections.Counter((n, w) for x in windows for n, w in x.items())
+        want = [[n for n, w in x.items() if often[n, w] > 1] for x in windows]
+        assert [(int(a), int(b)) if b >= 0 else None for a, b in zip(least, most)] == [(x[0], x[-1]) if x else None for x in want]
+
+
+def test_rows_that_share_no_more_than_a_lead_are_hashed_once(monkeypatch):
+    texts = [bytes(random.Random(i).choices(range(97, 123), k=200)) for i in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([0] * 200, [b"l" * 200] * 200, [0] * 200, [1] * 200, texts, [x[::-1] for x in texts], range(200), range(200), range(200)), substring_dedup._AROUND.values())], names=list(substring_dedup._AROUND))
+    hashed, mix = [], substring_dedup.mix
+    monkeypatch.setattr(substring_dedup, "mix", lambda x: hashed.append(numpy.size(x)) or mix(x))
+    assert not sum(x.num_rows for x in substring_dedup._compare(400)(iter([rows])))
+    assert sum(hashed) < 200 * 20  # not once for each of 201 windows
+
+
+def test_windows_that_a_batch_shares_are_given_once():
+    rows = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([0] * 50, [b"l" * 200] * 50, [0] * 50, [1] * 50, [b"f" * 200] * 50, [b"n" * 200] * 50, range(50), range(50), range(50)), substring_dedup._AROUND.values())], names=list(substring_dedup._AROUND))
+    got = pa.Table.from_batches(substring_dedup._windows(400)(iter([rows]))).to_pylist()
+    assert len(got) == 201 + 2 * 50 and {x["m"] for x in got} == {2}
+    assert len({(x["lead_hash"], x["n"], x["window"]) for x in got}) == len(got)
+    assert all({0, 200} <= {x["n"] for x in got if x["id"] == i} for i in range(50))
+
+
 def test_crowded_places_are_dealt_out(spark):
     places = spark.range(64).selectExpr("0 as side", "binary('lead') as lead", "0 as part", "1 as parts", "binary('far') as far", "binary('near') as near", "id", "1 as hash", "int(id) as place")
     got = substring_dedup._dealt(places.unionByName(places))
